@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,25 +63,51 @@ class CorpusStats:
     idf: dict[str, float]
 
 
-def batch_stats(tokenized: DataFrame, terms: DataFrame) -> CorpusStats:
+def batch_stats(tokenized: DataFrame, terms: Sequence[str]) -> CorpusStats:
     """Statistics for a bounded set of question terms, one scan of the corpus.
 
-    The corpus size is counted in the same aggregate, under the null term, so
-    the scan and its tokenising are not repeated.
+    Every task counts its own texts against the shipped terms and emits one row
+    per term seen; the corpus size travels in the same rows as term number -1.
     """
-    wanted = terms.select("term").distinct()
-    per_text = tokenized.select(
-        F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("tokens"))).alias("term"),
-        F.size("tokens").alias("len"),
-    )
-    kept = per_text.join(F.broadcast(wanted.withColumn("hit", F.lit(1))), "term", "left").where(
-        F.col("hit").isNotNull() | F.col("term").isNull()
+    vocabulary = list(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = pa.array(vocabulary, pa.string())
+        seen = np.zeros(len(vocabulary), dtype=np.int64)
+        texts = total = 0
+        for batch in batches:
+            tokens = batch.column("tokens")
+            lengths = list_lengths(tokens)
+            texts += len(lengths)
+            total += int(lengths.sum())
+            index = pc.fill_null(pc.index_in(tokens.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False)
+            known = index >= 0
+            owner = np.repeat(np.arange(len(lengths)), lengths)[known]
+            pairs = np.unique(owner * max(len(vocabulary), 1) + index[known])
+            seen += np.bincount(pairs % max(len(vocabulary), 1), minlength=len(vocabulary))
+        hit = np.nonzero(seen)[0]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([[-1], hit]), pa.int32()),
+                pa.array(np.concatenate([[texts], seen[hit]]), pa.int64()),
+                pa.array(np.concatenate([[total], np.zeros(len(hit))]), pa.int64()),
+            ],
+            names=["term_no", "df", "total"],
+        )
+
+    rows = (
+        tokenized.select("tokens")
+        .mapInArrow(count, "term_no int, df long, total long")
+        .groupBy("term_no")
+        .agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+        .collect()
     )
-    rows = kept.groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("total")).collect()
-    n = next((r["df"] for r in rows if r["term"] is None), 0)
-    total = next((r["total"] for r in rows if r["term"] is None), 0)
+    figures = {r["term_no"]: r for r in rows}
+    n, total = (figures[-1]["df"], figures[-1]["total"]) if -1 in figures else (0, 0)
     weights = {
-        r["term"]: float(np.log(1.0 + (n - r["df"] + 0.5) / (r["df"] + 0.5))) for r in rows if r["term"] is not None
+        vocabulary[no]: float(np.log(1.0 + (n - r["df"] + 0.5) / (r["df"] + 0.5)))
+        for no, r in figures.items()
+        if no >= 0
     }
     return CorpusStats(n=n, avg_len=(total / n if n else 0.0), idf=weights)
 
