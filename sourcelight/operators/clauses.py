@@ -59,7 +59,7 @@ def excerpt(text: Column, offset: Column, limit: int = C.EXCERPT_LIMIT) -> Colum
     lead = F.regexp_extract(F.substring(text, first + 1, offset - first), rf"[^{marks}\n]*\z", 0)
     tail = F.substring(text, offset + 1, F.lit(limit))
     # A mark at the very start of the tail does not end it.
-    closed = F.regexp_extract(tail, rf"\A[^{marks}]+[{marks}]", 0)
+    closed = F.regexp_extract(F.substring(text, offset + 1, F.lit(limit + 1)), rf"\A[^{marks}]+[{marks}]", 0)
     body = X.strip(F.concat(lead, F.when(closed != "", closed).otherwise(tail)))
     complete = ((closed == "") & (offset + limit >= F.length(text))) | body.rlike(rf"[{marks}]\z")
     return F.when(complete, body).otherwise(F.concat(body, F.lit("…")))
@@ -190,16 +190,20 @@ def _override(key: Column, evidence: Column, text: Column) -> Column:
 def _complete(clause: C.Clause, evidence: Column, squeezed: Column) -> Column:
     if clause.schedule:
         return evidence.rlike(C.CALENDAR_DATE) & X.contains_any(evidence, C.SCHEDULE_WORDS)
+    if clause.named_parties:
+        out = F.lit(False)
+        for pair in C.PARTY_PAIRS:
+            names = [F.regexp_extract(squeezed, role + C.PARTY_NAME, 1) for role in pair]
+            both = F.lit(True)
+            for name in names:
+                both = both & (F.length(name) >= 2) & ~name.isin(*C.BLANK_NAMES)
+            out = out | both
+        return out
     out = X.contains_any(evidence, clause.required) if clause.required else F.lit(True)
     if clause.pattern:
         out = out & evidence.rlike(clause.pattern)
     for p in clause.compact_patterns:
         out = out & squeezed.rlike(p)
-    if clause.any_compact_patterns:
-        anyone = F.lit(False)
-        for p in clause.any_compact_patterns:
-            anyone = anyone | squeezed.rlike(p)
-        out = out & anyone
     return out
 
 

@@ -15,13 +15,12 @@ class Clause:
     limit: int = 1  # excerpts kept
     pattern: str = ""  # must match the evidence
     compact_patterns: tuple[str, ...] = ()  # all must match the white-space-free evidence
-    any_compact_patterns: tuple[str, ...] = ()  # one of these must match it
+    named_parties: bool = False  # both roles of one pair carry a name
     schedule: bool = False  # a calendar date with schedule or validity words
 
 
 # --- Fixed values: contract clauses -------------------------------------------
 _AMOUNT = r"[）)]?[：:为]?(?:人民币)?[￥¥]?\d[\d,，]*(?:\.\d+)?(?:万元|元)"
-_NAME = r"(?:名称|公司名称)?[：:](?!(?:待填写|待填|待定)(?![\x{4e00}-\x{9fff}A-Za-z0-9（）()]))[\x{4e00}-\x{9fff}A-Za-z0-9（）()]{2,}"
 CONTRACT_CLAUSES = (
     Clause(
         "term", "合同期限/工期/到期日", "计划开工、完工/竣工日期，合同工期，以及到期后的处理和自动续期",
@@ -38,10 +37,7 @@ CONTRACT_CLAUSES = (
         "parties", "甲乙方公司信息", "甲方/乙方或承包人/分包人的公司名称、统一社会信用代码及主体身份",
         ("承包人", "分包人", "采购方", "供应方", "甲方", "乙方"),
         (), limit=2,
-        any_compact_patterns=tuple(
-            rf"(?s)(?=.*{left}{_NAME})(?=.*{right}{_NAME})"
-            for left, right in (("甲方", "乙方"), ("承包人", "分包人"), ("采购方", "供应方"))
-        ),
+        named_parties=True,
     ),
     Clause(
         "amount", "合同金额（含税/不含税）", "含税金额、不含税金额、税额和税率是否写明且相互对应",
@@ -96,6 +92,8 @@ CALENDAR_DATE = r"\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日|\d{4}[./-]\d{1,2}[
 SCHEDULE_WORDS = ("开工", "完工", "竣工", "工期", "有效期", "期限", "到期")
 SENTENCE_MARKS = ("。", "；")
 EXCERPT_LIMIT, AMOUNT_EXCERPT_LIMIT, EXCERPT_LEAD = 420, 280, 96
+PARTY_NAME = r"(?:名称|公司名称)?[：:]([\x{4e00}-\x{9fff}A-Za-z0-9（）()]+)"
+BLANK_NAMES = ("待填", "待填写", "待定")
 PARTY_PAIRS = (("甲方", "乙方"), ("承包人", "分包人"), ("采购方", "供应方"))
 INFO_TABLE = r"双\s*方\s*基\s*本\s*信\s*息"
 INFO_TABLE_END = r"\s(?:14\.2|15\.|十五、|十六、|合同附件)"
