@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -493,7 +494,8 @@ def recent_history(spark, sf):
 @query
 def route_questions(spark, sf):
     asked = corpus.table(spark, sf, "conversations").where(F.col("role") == "user")
-    return asked.groupBy(conversation.route(F.col("text"), LATIN_VOCABULARY).alias("route")).agg(
+    words = replace(LATIN_VOCABULARY, catalog=("une", "the"), project_meta=("ion", "ung"))
+    return asked.groupBy(conversation.route(F.col("text"), words).alias("route")).agg(
         F.count("*").alias("n")
     )
 

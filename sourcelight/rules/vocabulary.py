@@ -130,8 +130,8 @@ LATIN_VOCABULARY = Vocabulary(
     generic=("was", "be", "from", "this", "que", "qui", "pour", "ist", "mit", "von", "para", "por"),
     subjects=(),
     follow_up_prefixes=("and", "then", "that", "la", "und"),
-    catalog=("the", "une"),
-    project_meta=("ion", "ung"),
+    catalog=("whichdocuments", "quelsdocuments", "welchedokumente"),
+    project_meta=("thisproject", "ceprojet", "diesesprojekt"),
     duration_pattern=r"\d+\s*(?:days?|weeks?|months?|years?)",
     short_question=40,
 )
