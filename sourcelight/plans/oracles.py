@@ -152,8 +152,8 @@ rows0 AS (SELECT c.*, CASE WHEN should_refuse THEN 0 ELSE coalesce((SELECT sr FR
    AND s.source_path = expected_source), 0) END AS rank,
   CASE WHEN should_refuse THEN (SELECT count(*) FROM best b WHERE b.query_id = case_id) = 0 END AS refusal_correct,
   (SELECT count(*) FROM srank s WHERE s.query_id = case_id) AS n_sources,
-  len(list_filter((SELECT kw FROM words w WHERE w.query_id = case_id),
-     lambda k: contains(coalesce((SELECT body FROM texts t WHERE t.case_id = c.case_id), ''), k))) AS n_keyword_hits FROM cases c),
+  (SELECT len(list_filter(kw, lambda k: contains(coalesce(body, ''), k))) FROM words w LEFT JOIN texts t ON t.case_id = w.query_id
+     WHERE w.query_id = c.case_id) AS n_keyword_hits FROM cases c),
 rows1 AS MATERIALIZED (SELECT *, CAST(rank = 1 AS INT) AS hit_at_1, CAST(rank BETWEEN 1 AND 3 AS INT) AS hit_at_3,
   CASE WHEN rank > 0 THEN 1.0::DOUBLE / rank ELSE 0.0 END AS rr,
   CASE WHEN should_refuse AND refusal_correct THEN 'passed' WHEN should_refuse THEN 'false_positive_evidence'
@@ -222,7 +222,7 @@ fields AS MATERIALIZED (SELECT *, CASE WHEN evidence = '' THEN 'missing' WHEN
 # --- pages -------------------------------------------------------------------------------
 
 # Character references that occur in the given pages.
-_REFS = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&"))
+_REFS = (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
 def _plain(x: str, limit: int) -> str:
