@@ -15,6 +15,7 @@ from sourcelight.functions.dedupe import distinct_fact_positions, pick
 from sourcelight.operators.evidence import CONDITION, holds, holds_any, holds_one, meets, overlap, phrase_bonus, rule_table
 from sourcelight.rules import evidence_rules as R
 from sourcelight.rules import vocabulary as V
+from sourcelight.session import fenced
 
 BULLETS = "\n- "
 
@@ -44,12 +45,13 @@ def add_sentences(df: DataFrame) -> DataFrame:
             ),
         )
 
-    return (
-        df.withColumn("evidence", F.array_join(F.transform(own, lambda r: r["content"]), "\n"))
+    return fenced(
+        fenced(df, "query_id").withColumn("evidence", F.array_join(F.transform(own, lambda r: r["content"]), "\n"))
         .withColumn("invoice_policy", F.exists(own, lambda r: r["title"].contains("发票")
                                                | F.lower(r["source_path"]).contains("invoice")))
         .withColumn("facts", F.flatten(F.transform(own, explode)))
-        .withColumn("in_order", F.array_sort("facts"))
+        .withColumn("in_order", F.array_sort("facts")),
+        "query_id",
     )
 
 

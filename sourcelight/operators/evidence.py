@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sourcelight.functions import text as X
 from sourcelight.rules import evidence_rules as R
 from sourcelight.rules import vocabulary as V
+from sourcelight.session import fenced
 
 GATE_RESULTS = 10
 
@@ -195,9 +196,9 @@ def gate(
 ) -> DataFrame:
     """Add ``best_document`` (null when evidence is insufficient) and ``evidence_score``.
 
-    Input: one row per question with ``question`` and ``results``.
+    Input: one row per question with ``query_id``, ``question`` and ``results``.
     """
-    featured = add_question_features(df, vocabulary, adaptations)
+    featured = fenced(add_question_features(df, vocabulary, adaptations), "query_id")
     pooled = F.lower(X.compact(F.array_join(F.transform("results", lambda r: r["content"]), "\n")))
     subjects_found = F.forall("subjects", lambda s: pooled.contains(F.lower(s)))
     leave_phrase = X.contains_any(F.col("question"), V.ANNUAL_LEAVE_TERMS)

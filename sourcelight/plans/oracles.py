@@ -88,9 +88,9 @@ def _bm25(name: str, source: str, k: int) -> str:
 def _features(name: str, rows: str, key: str, text: str) -> str:
     """(key, position, value) feature-hash counts of a text column."""
     squeezed = _compact(f"lower({text})")
-    return f"""{name}_f AS (
-  SELECT {key}, unnest(list_concat({_tok(text)},
-     list_transform(range(1, greatest(length({squeezed}), 1)), lambda i: substr({squeezed}, i, 2)))) AS feature FROM {rows}),
+    return f"""{name}_s AS MATERIALIZED (SELECT {key}, {text} AS txt, {squeezed} AS sq FROM {rows}),
+{name}_f AS (SELECT {key}, unnest(list_concat(list_concat({_tok('txt')}, regexp_extract_all(sq, '(?s)..')),
+     regexp_extract_all(substr(sq, 2), '(?s)..'))) AS feature FROM {name}_s),
 {name}_c AS MATERIALIZED (SELECT {key}, feature, count(*) AS n FROM {name}_f GROUP BY ALL),
 {name}_h AS (SELECT feature, sha256(feature) AS h FROM (SELECT DISTINCT feature FROM {name}_c)),
 {name}_p AS (SELECT feature, CAST(('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)) AS BIGINT) % 384
@@ -137,9 +137,9 @@ best AS MATERIALIZED (SELECT query_id, document_id AS best_document, score AS ev
   (PARTITION BY query_id ORDER BY score DESC, rank, document_id DESC) AS n FROM pass) WHERE n = 1)"""
 
 TITLES = "CASE WHEN document_id = '' THEN '' ELSE document_id END"
-HELD = f"""held AS MATERIALIZED (SELECT q.query_id, d.document_id, d.source_path FROM docs d JOIN questions q
-  ON contains(' ' || array_to_string({_tok('d.content')}, ' ') || ' ', ' ' || array_to_string({_tok('q.qtext')}, ' ') || ' ')
-  WHERE len({_tok('q.qtext')}) > 0)"""
+HELD = f"""hd AS MATERIALIZED (SELECT document_id, source_path, ' ' || array_to_string({_tok('content')}, ' ') || ' ' AS run FROM docs),
+hq AS MATERIALIZED (SELECT query_id, ' ' || array_to_string({_tok('qtext')}, ' ') || ' ' AS run FROM questions WHERE len({_tok('qtext')}) > 0),
+held AS MATERIALIZED (SELECT q.query_id, d.document_id, d.source_path FROM hd d JOIN hq q ON contains(d.run, q.run))"""
 EVAL = f"""{GATE}, {HELD},
 cases AS (SELECT query_id AS case_id, coalesce(min(source_path), '') AS expected_source, min(source_path) IS NULL AS should_refuse
   FROM questions LEFT JOIN held USING (query_id) GROUP BY query_id),

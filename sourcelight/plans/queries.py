@@ -340,9 +340,9 @@ def evidence_gate(spark, sf):
 def answer_facts(spark, sf):
     """Ranked candidate sentences of the best document behind each answer."""
     _, gated = _gated(spark, sf)
-    answerable = gated.where(F.col("best_document").isNotNull())
-    facts = compose.add_sentences(answerable).select(
-        "query_id", "all_tokens", F.explode("facts").alias("f")
+    # The outer form keeps the optimizer from repeating the facts in a size filter.
+    facts = compose.add_sentences(gated).select(
+        "query_id", "all_tokens", F.explode_outer("facts").alias("f")
     )
     s = F.col("f.text")
     low = F.lower(s)

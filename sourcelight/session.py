@@ -49,3 +49,14 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fenced(df: DataFrame, *keys: str) -> DataFrame:
+    """Compute a small per-question table once and spread it over the cores.
+
+    Without an exchange the optimizer copies a column's expression into every
+    lambda that reads it, where it runs once per array element; and AQE would
+    leave a small table in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(cores, 256), *keys)
