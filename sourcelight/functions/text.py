@@ -252,9 +252,11 @@ def is_catalog(c: Column) -> Column:
 
 def compact_clause_text(c: Column) -> Column:
     """Drop heading lines and collapse white space other than line breaks."""
-    t = F.regexp_replace(c, r"(?m)^#{1,6}[^\n]*(?:\n|\z)", "\n")
-    inline = WS.replace(r"\s", r" \t\x0b\f\r")
-    return strip(F.regexp_replace(t, f"{inline}+", " "))
+    no_headings = F.regexp_replace(c, r"(?m)^#{1,6}[^\n]*(?:\n|\z)", "\n")
+    t = F.when(c.contains("#"), no_headings).otherwise(c)
+    inline = rf"[ \t\x0b\f\r{_RARE_WS}]"
+    runs = c.rlike(rf"{inline}{{2}}|[\t\x0b\f\r{_RARE_WS}]")
+    return strip(F.when(runs, F.regexp_replace(t, f"{inline}+", " ")).otherwise(t))
 
 
 def source_type(path: Column) -> Column:

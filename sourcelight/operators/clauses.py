@@ -19,17 +19,21 @@ _HIT = T.ArrayType(
             T.StructField("clause", T.IntegerType()),
             T.StructField("priority", T.IntegerType()),
             T.StructField("offset", T.IntegerType()),
+            T.StructField("lead", T.StringType()),
+            T.StructField("tail", T.StringType()),
         ]
     )
 )
 
 
 def find_anchors(text: Column, clauses: Sequence[C.Clause]) -> Column:
-    """All non-overlapping anchor positions of a text, in linear time.
+    """All non-overlapping anchor positions of a text with their surroundings.
 
-    Spark has no function for the positions of all matches of a substring, so
-    this one step is an Arrow-batched scan; scoring stays in the JVM.
+    Spark has no function for the positions of all matches of a substring, and
+    its substrings count characters from the start of the text, so this one
+    step is an Arrow-batched scan in linear time; scoring stays in the JVM.
     """
+    before, after = C.EXCERPT_LEAD, C.EXCERPT_LIMIT + 1
     table = [(n, p, a) for n, clause in enumerate(clauses) for p, a in enumerate(clause.anchors)]
 
     @F.pandas_udf(_HIT)
@@ -40,7 +44,7 @@ def find_anchors(text: Column, clauses: Sequence[C.Clause]) -> Column:
             for n, priority, anchor in table:
                 at = body.find(anchor) if body else -1
                 while at >= 0:
-                    hits.append((n, priority, at))
+                    hits.append((n, priority, at, body[max(at - before, 0) : at], body[at : at + after]))
                     at = body.find(anchor, at + len(anchor))
             out.append(hits)
         return pd.Series(out)
@@ -49,19 +53,26 @@ def find_anchors(text: Column, clauses: Sequence[C.Clause]) -> Column:
 
 
 def excerpt(text: Column, offset: Column, limit: int = C.EXCERPT_LIMIT) -> Column:
-    """Clause-sized context of a zero-based position.
+    """Clause-sized context of a zero-based position of a text."""
+    first = F.greatest(offset - C.EXCERPT_LEAD, F.lit(0))
+    return trim_excerpt(
+        F.substring(text, first + 1, offset - first), F.substring(text, offset + 1, F.lit(limit + 1)), limit
+    )
+
 
-    Starts after the last sentence mark or line break at most ``EXCERPT_LEAD``
-    characters back, ends with the first mark within ``limit``, else is cut.
+def trim_excerpt(lead: Column, tail: Column, limit: int = C.EXCERPT_LIMIT) -> Column:
+    """Cut the surroundings of a position to one clause.
+
+    Starts after the last sentence mark or line break of ``lead`` and ends with
+    the first mark inside ``tail``, else after ``limit`` characters. ``tail``
+    holds one character more than the limit unless the text ends before.
     """
     marks = "".join(C.SENTENCE_MARKS)
-    first = F.greatest(offset - C.EXCERPT_LEAD, F.lit(0))
-    lead = F.regexp_extract(F.substring(text, first + 1, offset - first), rf"[^{marks}\n]*\z", 0)
-    tail = F.substring(text, offset + 1, F.lit(limit))
+    start = F.regexp_replace(lead, rf"(?s)\A.*[{marks}\n]", "")
     # A mark at the very start of the tail does not end it.
-    closed = F.regexp_extract(F.substring(text, offset + 1, F.lit(limit + 1)), rf"\A[^{marks}]+[{marks}]", 0)
-    body = X.strip(F.concat(lead, F.when(closed != "", closed).otherwise(tail)))
-    complete = ((closed == "") & (offset + limit >= F.length(text))) | body.rlike(rf"[{marks}]\z")
+    closed = F.regexp_extract(tail, rf"\A[^{marks}]++[{marks}]", 0)
+    body = X.strip(F.concat(start, F.when(closed != "", closed).otherwise(F.substring(tail, 1, limit))))
+    complete = ((closed == "") & (F.length(tail) <= limit)) | body.rlike(rf"[{marks}]\z")
     return F.when(complete, body).otherwise(F.concat(body, F.lit("…")))
 
 
@@ -104,7 +115,7 @@ def locate(docs: DataFrame, clauses: Sequence[C.Clause] = C.CONTRACT_CLAUSES) ->
                 h["clause"].alias("clause"),
                 h["priority"].alias("priority"),
                 h["offset"].alias("offset"),
-                excerpt(F.col("_text"), h["offset"]).alias("body"),
+                trim_excerpt(h["lead"], h["tail"]).alias("body"),
             ),
         ).alias("_hits"),
     ).withColumn(
