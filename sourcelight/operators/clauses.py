@@ -99,50 +99,54 @@ def _distinct_excerpts(ordered: Column, limit: Column) -> Column:
     )
 
 
-def locate(docs: DataFrame, clauses: Sequence[C.Clause] = C.CONTRACT_CLAUSES) -> DataFrame:
-    """(document_id, clause_no, evidence) for every document and clause.
+def locate(docs: DataFrame, clauses: Sequence[C.Clause] = C.CONTRACT_CLAUSES, carry: Sequence[str] = ()) -> DataFrame:
+    """(document_id, *carry, clause_no, field, evidence) for every document and clause.
 
-    Narrow: each document's hits are scored, ordered and cut inside its row.
+    Narrow: each document's hits are scored, ordered and cut inside its row, and
+    the explode comes last, so later columns read finished evidence.
     """
-    compact = docs.select("document_id", X.compact_clause_text(F.col("content")).alias("_text"))
+    compact = docs.select("document_id", *carry, X.compact_clause_text(F.col("content")).alias("_text"))
     hits = compact.withColumn("_hits", find_anchors(F.col("_text"), clauses))
-    scored = hits.select(
-        "document_id",
-        "_text",
-        F.transform(
-            "_hits",
-            lambda h: F.struct(
-                h["clause"].alias("clause"),
-                h["priority"].alias("priority"),
-                h["offset"].alias("offset"),
-                trim_excerpt(h["lead"], h["tail"]).alias("body"),
-            ),
-        ).alias("_hits"),
-    ).withColumn(
+    bodies = F.transform(
         "_hits",
-        F.transform(
-            "_hits",
-            lambda h: F.struct(
-                h["clause"].alias("clause"),
-                (-_score(h["priority"], h["body"])).alias("order"),
-                h["offset"].alias("offset"),
-                h["body"].alias("body"),
-            ),
+        lambda h: F.struct(
+            h["clause"].alias("clause"),
+            h["priority"].alias("priority"),
+            h["offset"].alias("offset"),
+            trim_excerpt(h["lead"], h["tail"]).alias("body"),
         ),
     )
-    limits = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(c.limit).alias("limit")) for i, c in enumerate(clauses)])
+    scored = F.transform(
+        bodies,
+        lambda h: F.struct(
+            h["clause"].alias("clause"),
+            (-_score(h["priority"], h["body"])).alias("order"),
+            h["offset"].alias("offset"),
+            h["body"].alias("body"),
+        ),
+    )
+    specs = F.array(
+        *[
+            F.struct(F.lit(i).alias("no"), F.lit(c.key).alias("key"), F.lit(c.limit).alias("limit"))
+            for i, c in enumerate(clauses)
+        ]
+    )
+    special = any(c.key in ("parties", "banking", "amount", "term") for c in clauses)
 
     def evidence(spec: Column) -> Column:
-        mine = F.array_sort(F.filter("_hits", lambda h: h["clause"] == spec["no"]))
-        return F.array_join(_distinct_excerpts(F.transform(mine, lambda h: h["body"]), spec["limit"]), "\n\n")
+        mine = F.array_sort(F.filter("_scored", lambda h: h["clause"] == spec["no"]))
+        joined = F.array_join(_distinct_excerpts(F.transform(mine, lambda h: h["body"]), spec["limit"]), "\n\n")
+        return F.struct(spec["no"].alias("no"), spec["key"].alias("key"), joined.alias("evidence"))
 
-    return scored.select(
-        "document_id",
-        "_text",
-        F.explode(
-            F.transform(limits, lambda s: F.struct(s["no"].alias("clause_no"), evidence(s).alias("evidence")))
-        ).alias("_e"),
-    ).select("document_id", "_text", "_e.*")
+    def final(e: Column) -> Column:
+        text = _override(e["key"], e["evidence"], F.col("_text")) if special else e["evidence"]
+        return F.struct(e["no"].alias("clause_no"), e["key"].alias("field"), text.alias("evidence"))
+
+    return (
+        hits.withColumn("_scored", scored)
+        .select("document_id", *carry, F.explode(F.transform(F.transform(specs, evidence), final)).alias("_e"))
+        .select("document_id", *carry, "_e.*")
+    )
 
 
 def _override(key: Column, evidence: Column, text: Column) -> Column:
@@ -234,33 +238,25 @@ def issue(key: Column, state: Column) -> Column:
     return F.when(state == "incomplete", text).otherwise(F.lit(""))
 
 
-def extract_fields(docs: DataFrame, clauses: Sequence[C.Clause] = C.CONTRACT_CLAUSES) -> DataFrame:
+def extract_fields(
+    docs: DataFrame, clauses: Sequence[C.Clause] = C.CONTRACT_CLAUSES, carry: Sequence[str] = ()
+) -> DataFrame:
     """One row per document and clause: evidence, status and issue."""
-    found = locate(docs, clauses)
 
     def spec(values: list[str]) -> Column:
         return F.get(X.literal_array(values), F.col("clause_no"))
 
-    named = found.select(
-        "document_id",
-        "clause_no",
-        spec([c.key for c in clauses]).alias("field"),
-        spec([c.label for c in clauses]).alias("label"),
-        spec([c.review_focus for c in clauses]).alias("review_focus"),
-        "_text",
-        "evidence",
-    )
-    if any(c.key in ("parties", "banking", "amount", "term") for c in clauses):
-        named = named.withColumn("evidence", _override(F.col("field"), F.col("evidence"), F.col("_text")))
     return (
-        named.withColumn("status", status(F.col("field"), F.col("evidence"), clauses))
+        locate(docs, clauses, carry)
+        .withColumn("label", spec([c.label for c in clauses]))
+        .withColumn("review_focus", spec([c.review_focus for c in clauses]))
+        .withColumn("status", status(F.col("field"), F.col("evidence"), clauses))
         .withColumn("issue", issue(F.col("field"), F.col("status")))
-        .drop("_text")
     )
 
 
-def review_prompts(fields: DataFrame, vague_terms: Sequence[str] = C.VAGUE_TERMS) -> DataFrame:
-    """Prompts for missing, incomplete or vaguely worded clauses."""
+def _prompt_message(vague_terms: Sequence[str]) -> Column:
+    """Prompt text of one clause row; null where there is nothing to ask."""
     vague = F.filter(X.literal_array(vague_terms), lambda t: F.col("evidence").contains(t))
     words = F.array_join(vague, "、")
     has_vague = F.size(vague) > 0
@@ -268,24 +264,29 @@ def review_prompts(fields: DataFrame, vague_terms: Sequence[str] = C.VAGUE_TERMS
     spare = F.concat(
         F.lit("已找到与"), F.col("label"), F.lit("相关的表述，但未能确认"), F.col("review_focus"), F.lit("是否完整明确")
     )
-    message = (
+    return (
         F.when(F.col("status") == "missing", F.concat(F.lit("待确认条款：未检出"), F.col("label"), F.lit("。")))
         .when(
             F.col("status") == "incomplete",
-            F.concat(
-                F.lit("待确认条款："), F.when(F.col("issue") != "", F.col("issue")).otherwise(spare), suffix
-            ),
+            F.concat(F.lit("待确认条款："), F.when(F.col("issue") != "", F.col("issue")).otherwise(spare), suffix),
         )
         .when(
             has_vague,
             F.concat(F.lit("审阅提示："), F.col("label"), F.lit("包含表述“"), words, F.lit("”，建议确认具体条件或期限。")),
         )
     )
-    severity = F.when(F.col("status").isin("missing", "incomplete"), "medium").otherwise("low")
+
+
+def _severity() -> Column:
+    return F.when(F.col("status").isin("missing", "incomplete"), "medium").otherwise("low")
+
+
+def review_prompts(fields: DataFrame, vague_terms: Sequence[str] = C.VAGUE_TERMS) -> DataFrame:
+    """Prompts for missing, incomplete or vaguely worded clauses."""
     return (
-        fields.withColumn("message", message)
+        fields.withColumn("message", _prompt_message(vague_terms))
         .where(F.col("message").isNotNull())
-        .select("document_id", "clause_no", "field", severity.alias("severity"), "message")
+        .select("document_id", "clause_no", "field", _severity().alias("severity"), "message")
     )
 
 
@@ -302,32 +303,34 @@ def review_counts(fields: DataFrame, *keys: str) -> DataFrame:
 def review(docs: DataFrame, clauses: Sequence[C.Clause] = C.CONTRACT_CLAUSES) -> DataFrame:
     """Full review: one row per document with fields, prompts, counts and hash.
 
-    Always inspects the whole text. Groups hold one row per clause.
+    Always inspects the whole text. Sections are found before the grouping, so
+    the one shuffle moves excerpts, not texts; a group has one row per clause.
     """
-    fields = extract_fields(docs, clauses)
-    located = fields.join(docs.select("document_id", "content"), "document_id").withColumn(
-        "evidence_sections", evidence_sections(F.col("content"), F.col("evidence"))
+    hashed = docs.select("document_id", "title", "content", X.content_version(F.col("content")).alias("document_version"))
+    rows = (
+        extract_fields(hashed, clauses, ["title", "content", "document_version"])
+        .withColumn("evidence_sections", evidence_sections(F.col("content"), F.col("evidence")))
+        .withColumn("message", _prompt_message(C.VAGUE_TERMS))
+    )
+    prompt = F.when(
+        F.col("message").isNotNull(), F.struct("clause_no", "field", _severity().alias("severity"), "message")
     )
-    gathered = located.groupBy("document_id").agg(
+    found = F.sum((F.col("status") == "found").cast("int"))
+    gathered = rows.groupBy("document_id", "title", "document_version").agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
                     "clause_no", "field", "label", "review_focus", "evidence", "status", "issue", "evidence_sections"
                 )
             )
-        ).alias("fields")
-    )
-    prompts = (
-        review_prompts(fields)
-        .groupBy("document_id")
-        .agg(F.array_sort(F.collect_list(F.struct("clause_no", "field", "severity", "message"))).alias("risk_prompts"))
-    )
-    head = docs.select("document_id", "title", X.content_version(F.col("content")).alias("document_version"))
-    joined = (
-        head.join(gathered, "document_id").join(prompts, "document_id", "left").join(review_counts(fields), "document_id")
+        ).alias("fields"),
+        F.array_sort(F.collect_list(prompt)).alias("risk_prompts"),
+        F.count("*").alias("checked"),
+        found.alias("located"),
+        F.sum((F.col("status") == "incomplete").cast("int")).alias("incomplete"),
+        (F.count("*") - found).alias("pending"),
     )
-    empty = F.array().cast("array<struct<clause_no:int,field:string,severity:string,message:string>>")
-    return joined.withColumn("risk_prompts", F.coalesce("risk_prompts", empty)).withColumn(
+    return gathered.withColumn(
         "summary",
         F.format_string(
             "本次按 %d 类常见条款进行定位：已定位 %d 项，信息不完整或待确认 %d 项。定位到原文不代表条款已经充分或无需人工复核。",
