@@ -16,6 +16,8 @@ from sourcelight.operators.retrieval import collect_results, hybrid
 from sourcelight.rules import vocabulary as V
 from sourcelight.settings import DEFAULT_SETTINGS, Settings
 
+STRETCH = 1024  # turns per stretch of a conversation
+
 # --- history ----------------------------------------------------------------
 
 
@@ -29,29 +31,74 @@ def recent_history(messages: DataFrame, limit: int = 8) -> DataFrame:
     return last.where(F.col("role").isin("user", "assistant") & (X.strip(F.col("text")) != "")).drop("_n")
 
 
+def _stretches(messages: DataFrame) -> DataFrame:
+    """Cut conversations into stretches of turns, so a long one is not one task.
+
+    Neighbours are found inside a stretch; one summary row per stretch (see
+    ``_edges``) supplies those across its ends.
+    """
+    return messages.withColumn("_s", F.floor(F.col("turn") / STRETCH))
+
+
+def _asked() -> Column:
+    return F.when((F.col("role") == "user") & (X.strip(F.col("text")) != ""), X.strip(F.col("text")))
+
+
 def turn_pairs(messages: DataFrame) -> DataFrame:
     """User turns beside the assistant turn right after them, oldest first.
 
     A message that is not part of a pair stands alone.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = _stretches(messages.select("conv_id", "turn", "role", "text"))
+    inside = Window.partitionBy("conv_id", "_s").orderBy("turn")
+    across = Window.partitionBy("conv_id").orderBy("_s")
+    edges = (
+        rows.groupBy("conv_id", "_s")
+        .agg(F.min_by(F.struct("role", "text"), "turn").alias("_first"), F.max_by("role", "turn").alias("_last"))
+        .select(
+            "conv_id",
+            "_s",
+            F.lead("_first").over(across).alias("_after"),
+            F.lag("_last").over(across).alias("_prior"),
+        )
+    )
     seen = (
-        messages.withColumn("_next_role", F.lead("role").over(w))
-        .withColumn("_next_text", F.lead("text").over(w))
-        .withColumn("_before", F.lag("role").over(w))
+        rows.withColumn("_next", F.lead(F.struct("role", "text")).over(inside))
+        .withColumn("_before", F.lag("role").over(inside))
+        .join(edges, ["conv_id", "_s"])
+        .withColumn("_next", F.coalesce("_next", "_after"))
+        .withColumn("_before", F.coalesce("_before", "_prior"))
     )
     answers = (F.col("role") == "assistant") & F.col("_before").eqNullSafe("user")
-    paired = (F.col("role") == "user") & F.col("_next_role").eqNullSafe("assistant")
+    paired = (F.col("role") == "user") & F.col("_next.role").eqNullSafe("assistant")
     return seen.where(~answers).select(
-        "conv_id", "turn", "role", F.col("text").alias("message"), F.when(paired, F.col("_next_text")).alias("reply")
+        "conv_id", "turn", "role", F.col("text").alias("message"), F.when(paired, F.col("_next.text")).alias("reply")
     )
 
 
 def previous_question(messages: DataFrame) -> DataFrame:
     """Add ``previous``: the latest earlier non-blank user message."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    asked = F.when((F.col("role") == "user") & (X.strip(F.col("text")) != ""), X.strip(F.col("text")))
-    return messages.withColumn("previous", F.last(asked, ignorenulls=True).over(w))
+    rows = _stretches(messages).withColumn("_asked", _asked())
+    inside = Window.partitionBy("conv_id", "_s").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("conv_id").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        rows.where(F.col("_asked").isNotNull())
+        .groupBy("conv_id", "_s")
+        .agg(F.max_by("_asked", "turn").alias("_latest"))
+    )
+    # Stretches without a question still need the one carried into them.
+    edges = (
+        rows.groupBy("conv_id", "_s")
+        .agg(F.max(F.lit(1)).alias("_one"))
+        .join(carried, ["conv_id", "_s"], "left")
+        .select("conv_id", "_s", F.last("_latest", ignorenulls=True).over(across).alias("_carry"))
+    )
+    return (
+        rows.withColumn("_own", F.last("_asked", ignorenulls=True).over(inside))
+        .join(edges, ["conv_id", "_s"])
+        .withColumn("previous", F.coalesce("_own", "_carry"))
+        .drop("_s", "_asked", "_own", "_carry")
+    )
 
 
 def is_follow_up(q: Column, vocabulary: V.Vocabulary = V.DEFAULT_VOCABULARY) -> Column:

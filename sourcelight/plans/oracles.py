@@ -340,7 +340,7 @@ def oracle_sql() -> dict[str, str]:
       r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM j
         UNION ALL SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY quality DESC, toxic, doc_id) FROM j
         UNION ALL SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) FROM j),
-      f AS (SELECT lang AS query_id, printf('%012d', doc_id) AS item_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM r GROUP BY ALL)
+      f AS (SELECT lang AS query_id, printf('%012d', doc_id) AS item_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM r WHERE rank <= 100 GROUP BY ALL)
       SELECT query_id, item_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM f"""
     s["hybrid_topk"] = f"""WITH {HYBRID} SELECT query_id, rank, chunk_id, round(rrf, 9) AS rrf_score, vector_score, bm25_score FROM hybrid"""
     s["answer_sources"] = f"""WITH {HYBRID} SELECT query_id, rank, document_id AS title, section, source_path, 'txt' AS source_type,

@@ -265,7 +265,7 @@ def vector_norms(spark, sf):
 
 @query
 def rrf_fusion(spark, sf):
-    """Fusion of three rankings of documents per language: length, quality, id."""
+    """Fusion of three top-100 lists of documents per language: length, quality, id."""
     docs = corpus.table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     quality = corpus.table(spark, sf, "labels").select("doc_id", "quality", "toxic")
     joined = docs.join(quality, "doc_id")
@@ -277,7 +277,7 @@ def rrf_fusion(spark, sf):
             F.lit(list_id).alias("list_id"),
             F.format_string("%012d", "doc_id").alias("item_id"),
             F.row_number().over(w).alias("rank"),
-        )
+        ).where(F.col("rank") <= 100)
 
     lists = (
         ranking(1, F.desc("n_chars"), "doc_id")

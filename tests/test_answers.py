@@ -131,6 +131,21 @@ def test_pairs_and_history(spark):
     assert [r["turn"] for r in conversation.recent_history(talk(spark), 8).orderBy("turn").collect()] == [1, 2, 3, 4, 5, 6, 7]
 
 
+def test_long_conversation_is_cut_into_stretches(spark, monkeypatch):
+    rows = [(c, t, ("user", "assistant", "user", "system")[t % 4 if c else t % 2], f"{c}-{t}" if t % 5 else " ")
+            for c in (0, 1) for t in range(0, 60, 1 + c)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+
+    def run():
+        pairs = [tuple(r) for r in conversation.turn_pairs(df).orderBy("conv_id", "turn").collect()]
+        prev = [tuple(r) for r in conversation.previous_question(df).orderBy("conv_id", "turn").collect()]
+        return pairs, prev
+
+    whole = run()
+    monkeypatch.setattr(conversation, "STRETCH", 4)
+    assert run() == whole
+
+
 def test_routes(spark):
     rows = spark.createDataFrame([("知识库 里有哪些 文档",), ("这个项目是做什么的",), ("年假",), (" ",)], "q string")
     assert [r[0] for r in rows.select(conversation.route(F.col("q"))).collect()] == ["catalog", "project_meta", "retrieval", "invalid"]

@@ -138,6 +138,27 @@ def test_percentiles(spark):
     assert (row["latency_p50_ms"], row["latency_p95_ms"]) == (5.0, 81.8)
 
 
+def test_percentiles_of_a_hot_group(spark):
+    import random
+
+    rng = random.Random(3)
+    data = [("hot", round(rng.expovariate(0.01), 3)) for _ in range(3000)] + [("flat", 7.0)] * 500 + [("one", 2.5)]
+    rows = evaluation.latency_percentiles(spark.createDataFrame(data, "k string, v double"), "v", "k").collect()
+
+    def exact(values, p):
+        values = sorted(values)
+        i = (len(values) - 1) * p
+        low = int(i)
+        high = min(low + 1, len(values) - 1)
+        return values[low] + (values[high] - values[low]) * (i - low)
+
+    for r in rows:
+        mine = [v for k, v in data if k == r["k"]]
+        assert r["latency_p50_ms"] == pytest.approx(exact(mine, 0.5), abs=0.0051)
+        assert r["latency_p95_ms"] == pytest.approx(exact(mine, 0.95), abs=0.0051)
+    assert len(rows) == 3
+
+
 def test_feedback(spark, folder):
     store = stores.FeedbackStore(spark, str(folder / "feedback"))
     assert store.read().count() == 0
