@@ -224,7 +224,12 @@ def ask(
         mode, text = F.lit("extractive"), F.col("local_answer")
     else:
         mode, text = F.lit("unavailable"), F.lit(V.MODEL_UNAVAILABLE_ANSWER)
-    catalog = catalog_answer(documents).select(F.col("answer").alias("_catalog"), F.lit("catalog").alias("route"))
+    # The listing is one long text, so it is only built when somebody asks for it.
+    if asked.where(F.col("route") == "catalog").take(1):
+        catalog = catalog_answer(documents).select(F.col("answer").alias("_catalog"), F.lit("catalog").alias("route"))
+        composed = composed.join(catalog, "route", "left")
+    else:
+        composed = composed.withColumn("_catalog", F.lit(None).cast("string"))
     answer = (
         F.when(F.col("route") == "invalid", F.lit(V.EMPTY_QUESTION_ANSWER))
         .when(F.col("route") == "project_meta", F.lit(V.PROJECT_META_ANSWER))
@@ -232,7 +237,7 @@ def ask(
         .when(~sufficient, F.lit(V.INSUFFICIENT_ANSWER))
         .otherwise(text)
     )
-    return composed.join(catalog, "route", "left").select(
+    return composed.select(
         "query_id",
         "question",
         "route",

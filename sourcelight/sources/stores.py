@@ -210,7 +210,5 @@ def upload_contracts(
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """Markdown reports, partitioned by document."""
-    reports.select("document_id", "report").write.mode("overwrite").partitionBy("document_id").option(
-        "lineSep", "\n"
-    ).text(path)
+    """One Markdown report per row, with its document id."""
+    reports.select("document_id", "report").write.mode("overwrite").parquet(path)
