@@ -1,10 +1,7 @@
-"""Spark session construction and the shared folder for cut lineage."""
+"""Spark session construction and a small plan helper."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,29 +25,6 @@ def build_session(app_name: str = "sourcelight", master: str | None = None, **co
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (local tests) is a temporary folder used.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="sourcelight-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Cut lineage by writing to the shared folder; survives executor loss."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fenced(df: DataFrame, *keys: str) -> DataFrame:
     """Compute a small per-question table once and spread it over the cores.
 
