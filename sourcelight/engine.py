@@ -48,7 +48,7 @@ class Engine:
 
     def ask(self, questions: DataFrame, extractive: bool = True) -> DataFrame:
         return conversation.ask(
-            self.index.chunks(), self.index.documents(), questions, self.settings, self.vocabulary, self.generate,
+            self.index.chunks(), self.index.documents(), conversation.check_requests(questions), self.settings, self.vocabulary, self.generate,
             extractive, self.embed, self.rerank,
         )
 

@@ -13,6 +13,7 @@ from sourcelight.functions import text as X
 from sourcelight.operators.compose import compose_local
 from sourcelight.operators.evidence import current_question, filter_sources, gate, is_drafting_question
 from sourcelight.operators.retrieval import collect_results, hybrid
+from sourcelight.rules import evidence_rules as R
 from sourcelight.rules import vocabulary as V
 from sourcelight.settings import DEFAULT_SETTINGS, Settings
 
@@ -219,7 +220,8 @@ def ask(
     composed = compose_local(scoped, settings.adaptations)
     if generate is not None:
         composed = _generated(composed, generate)
-        mode, text = F.col("_g.mode"), F.col("_g.text")
+        mode = F.col("_g.mode")
+        text = F.when(mode == "model", keep_leave_wording(F.col("_g.text"))).otherwise(F.col("_g.text"))
     elif extractive:
         mode, text = F.lit("extractive"), F.col("local_answer")
     else:
@@ -257,6 +259,48 @@ def ask(
     )
 
 
+def keep_leave_wording(answer: Column) -> Column:
+    """Restore the second-calendar-year rule in a generated leave answer.
+
+    Reads ``question``, ``current`` and ``results`` of a gated row.
+    """
+    source = F.array_join(F.transform("results", lambda r: r["content"]), "\n")
+    ruled = source.contains(R.SECOND_YEAR_CLAUSE)
+    current = F.replace(F.replace(F.col("current"), F.lit("，"), F.lit("")), F.lit("。"), F.lit(""))
+    duration = F.regexp_extract(current, R.EMPLOYMENT_DURATION, 1)
+    fixed = answer
+    for pattern, wording in R.SECOND_YEAR_REWRITES:
+        fixed = F.regexp_replace(fixed, pattern, wording)
+    before, after = R.SECOND_YEAR_DURATION
+    plain = ~X.contains_any(F.col("current"), R.DETAIL_TERMS) & X.contains_any(F.col("current"), V.ANNUAL_LEAVE_TERMS)
+    return (
+        F.when(
+            ruled & (duration != "") & X.contains_any(F.col("question"), V.ANNUAL_LEAVE_TERMS),
+            F.concat(F.lit(before), duration, F.lit(after)),
+        )
+        .when(ruled & plain, F.lit(R.SECOND_YEAR_SHORT))
+        .when(ruled, fixed)
+        .otherwise(answer)
+    )
+
+
+def check_requests(questions: DataFrame) -> DataFrame:
+    """Questions with the length limit enforced; a longer one is an error."""
+    too_long = F.raise_error(F.lit(f"a question has at most {V.QUESTION_LIMIT} characters")).cast("string")
+    return questions.withColumn(
+        "question", F.when(F.length("question") <= V.QUESTION_LIMIT, F.col("question")).otherwise(too_long)
+    )
+
+
+def check_history(messages: DataFrame) -> DataFrame:
+    """History messages with a known role and 1 to ``MESSAGE_LIMIT`` characters."""
+    valid = F.col("role").isin("user", "assistant") & F.length("text").between(1, V.MESSAGE_LIMIT)
+    return messages.withColumn(
+        "text",
+        F.when(valid, F.col("text")).otherwise(F.raise_error(F.lit("invalid history message")).cast("string")),
+    )
+
+
 def _generated(df: DataFrame, generate: Callable[[str], str]) -> DataFrame:
     """Call the model once per answerable question and check its qualifiers.
 

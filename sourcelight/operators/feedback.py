@@ -20,8 +20,10 @@ def normalize_feedback(rows: DataFrame) -> DataFrame:
     reason = F.coalesce("reason", F.lit(""))
     return rows.select(
         F.replace(F.uuid(), F.lit("-"), F.lit("")).alias("feedback_id"),
-        _require(question != "", "question must not be blank", question).alias("question"),
-        _require(answer != "", "answer must not be blank", answer).alias("answer"),
+        _require(
+            F.length(question).between(1, V.QUESTION_LIMIT), "question must not be blank or too long", question
+        ).alias("question"),
+        _require(F.length(answer).between(1, V.ANSWER_LIMIT), "answer must not be blank or too long", answer).alias("answer"),
         _require(rating.isin(*V.RATINGS), "rating must be up or down", rating).alias("rating"),
         F.when(rating == "up", F.lit(""))
         .otherwise(_require(reason.isin("", *V.FEEDBACK_REASONS), "unknown reason", reason))

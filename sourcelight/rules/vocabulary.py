@@ -97,6 +97,9 @@ RATINGS = ("up", "down")
 FEEDBACK_REASONS = ("答非所问", "没有依据", "制度过期", "未解决")
 UNRESOLVED_REASON = "未解决"
 
+# --- Fixed values: request limits ---------------------------------------------
+QUESTION_LIMIT, ANSWER_LIMIT, MESSAGE_LIMIT, REASON_LIMIT = 1000, 5000, 5000, 20
+
 # Equipment nouns bound by the subject guard. There is no part-of-speech tagger
 # in Spark, so the guard works from this lexicon (ours) instead of a tagger.
 SUBJECT_LEXICON = (

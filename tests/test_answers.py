@@ -186,3 +186,23 @@ def test_ask_with_model(spark, library):
     assert mode(lambda p: "")[0] == "unavailable"
     off = conversation.ask(chunks, docs, asked, Settings(), extractive=False).where("query_id = 1").first()
     assert off["answer_mode"] == "unavailable"
+
+
+def test_generated_leave_wording(spark):
+    text = "员工自入职后的第二个日历年起享受年休假。"
+    rows = spark.createDataFrame(
+        [(1, "上一问：年假几天\n当前追问：入职2个月", [chunk(1, "a", "t", text)]), (2, "年假几天", [chunk(1, "a", "t", text)]),
+         (3, "年假全部分档", [chunk(1, "a", "t", text)]), (4, "年假几天", [chunk(1, "a", "t", "其他")])], SCHEMA)
+    df = evidence.add_question_features(rows).withColumn("g", F.lit("入职满一年后有年假"))
+    got = {r["query_id"]: r["a"] for r in df.select("query_id", conversation.keep_leave_wording(F.col("g")).alias("a")).collect()}
+    assert "仅凭入职 2个月 不能完整核定年假" in got[1] and got[2] == R.SECOND_YEAR_SHORT
+    assert got[3] == "自入职后的第二个日历年起有年假" and got[4] == "入职满一年后有年假"
+
+
+def test_request_limits(spark):
+    ok = spark.createDataFrame([(1, "x" * 1000)], "query_id int, question string")
+    assert conversation.check_requests(ok).count() == 1
+    with pytest.raises(Exception, match="1000"):
+        conversation.check_requests(ok.withColumn("question", F.concat("question", F.lit("y")))).collect()
+    with pytest.raises(Exception, match="history"):
+        conversation.check_history(spark.createDataFrame([("system", "x")], "role string, text string")).collect()
