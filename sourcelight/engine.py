@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from sourcelight.operators import access, catalog, clauses, conversation, evaluation, evidence, feedback, retrieval
 from sourcelight.operators.chunking import split_documents
@@ -83,9 +84,8 @@ class Engine:
     def contracts(self) -> DataFrame:
         try:
             return self.spark.read.parquet(self.contract_path)
-        except Exception:
-            empty = self.spark.createDataFrame([], stores.DOCUMENT_SCHEMA)
-            return empty
+        except AnalysisException:  # nothing uploaded yet
+            return self.spark.createDataFrame([], stores.DOCUMENT_SCHEMA)
 
     def upload_contracts(self, directory: str, actor_role: str, allowed_roles: Sequence[str]) -> None:
         new = files.load_directory(self.spark, directory, "contracts", self.pdf_parser)

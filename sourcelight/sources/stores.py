@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,7 +69,7 @@ class IndexStore:
         chunks = split_documents(documents, self.settings)
         if not chunks.take(1):
             raise ValueError("no document content to index")
-        built = f"build-{digest[:16]}-{self.spark.sql('select uuid()').first()[0]}"
+        built = f"build-{digest[:16]}-{uuid.uuid4().hex}"
         base = f"{self.folder}/{built}"
         documents.write.parquet(f"{base}/documents")
         prepare_chunks(chunks).write.partitionBy("knowledge_base_id").parquet(f"{base}/chunks")
@@ -147,9 +148,7 @@ class FeedbackStore:
             stored = self.spark.read.parquet(self.path)
         except AnalysisException:
             return self.spark.createDataFrame([], FEEDBACK_SCHEMA)
-        wanted = T.StructType.fromDDL(FEEDBACK_SCHEMA) if hasattr(T.StructType, "fromDDL") else None
-        names = [f.name for f in wanted] if wanted else FEEDBACK_SCHEMA.replace(" string", "").split(", ")
-        if stored.columns != names:
+        if stored.columns != T.StructType.fromDDL(FEEDBACK_SCHEMA).names:
             raise ValueError("feedback table has another structure; it was left unchanged")
         return stored
 
