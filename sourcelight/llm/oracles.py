@@ -10,6 +10,46 @@ FROM d JOIN g USING (text)
 """
 
 
+OP1 = """
+WITH d AS (
+  SELECT DISTINCT doc_id, source, sha256(coalesce(text, '')) AS text_hash,
+         greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1) AS n_tokens
+  FROM documents),
+s AS (SELECT source, sum(n_tokens) AS tokens FROM d GROUP BY source),
+t AS (SELECT sum(tokens)::DOUBLE AS total, min(tokens)::DOUBLE AS lo, max(tokens)::DOUBLE AS hi FROM s),
+e AS (SELECT round(CASE WHEN hi / lo <= 1.25 THEN 0 ELSE ceil((1 - ln(1.25) / ln(hi / lo)) * 64 ** 4) / 64 ** 4 END, 6) AS a
+      FROM t),
+p AS (SELECT source, tokens, (tokens / total) ** a AS power FROM s, t, e),
+z AS (SELECT sum(power) AS z, max(tokens / power) AS most FROM p),
+w AS (SELECT source, tokens, round(power / z * most * z)::BIGINT AS quota FROM p, z),
+b AS (SELECT greatest(1, ceil(sum(quota) / 262144.0)) AS blocks FROM w),
+k AS (SELECT *, md5('7|' || coalesce(doc_id::VARCHAR, '') || '|' || text_hash) AS o FROM d),
+r AS (SELECT k.*, quota, tokens,
+             sum(n_tokens) OVER (PARTITION BY k.source ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) - n_tokens AS start
+      FROM k JOIN w ON k.source IS NOT DISTINCT FROM w.source),
+x AS (SELECT *, unnest(range(greatest(ceil((quota - start) / tokens::DOUBLE)::BIGINT, 0))) AS epoch FROM r),
+y AS (SELECT doc_id, source, n_tokens, epoch, o,
+             least(floor((start + epoch * tokens) / quota::DOUBLE * blocks), blocks - 1)::BIGINT AS block FROM x, b)
+SELECT doc_id, source, n_tokens, epoch, block,
+       row_number() OVER (PARTITION BY block ORDER BY md5(o || '|' || epoch), doc_id) - 1 AS place FROM y
+"""
+
+OP6 = """
+WITH p AS (
+  SELECT page_id,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS h,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+q AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p),
+r(rh, rp, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+m AS (SELECT page_id, rh || rp AS rule, verdict,
+             row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, length(rh) DESC) AS n
+      FROM q JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT q.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM q LEFT JOIN m ON q.page_id = m.page_id AND n = 1
+"""
+
+
 def _spans(name: str, rank: int, pattern: str, ok: str) -> str:
     return f"""
 SELECT doc_id, '{name}' AS kind, {rank} AS rank, m, stop - length(m) AS start, stop
@@ -49,4 +89,4 @@ FROM (SELECT DISTINCT doc_id FROM d) d LEFT JOIN p USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7, "op8_pii": OP8}
+    return {"op1_mixing": OP1, "op6_url_filter": OP6, "op7_exact_dedup": OP7, "op8_pii": OP8}

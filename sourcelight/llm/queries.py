@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelight.llm import exact_dedup, pii
+from sourcelight.llm import exact_dedup, mixing, pii, url_rules
 from sourcelight.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,29 @@ def query(fn: Query) -> Query:
     return fn
 
 
+#: host, path, verdict: the contract's rules
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+@query
+def op1_mixing(spark, sf_dir):
+    placed = mixing.mix_sources(table(spark, sf_dir, "documents"), max_repetition=1.25)
+    return placed.select("doc_id", "source", "n_tokens", "epoch", "block", "place")
+
+
+@query
+def op6_url_filter(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = url_rules.judge(table(spark, sf_dir, "pages"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op7_exact_dedup(spark, sf_dir):
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
