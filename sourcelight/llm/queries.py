@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelight.llm import exact_dedup, mixing, pii, url_rules
+from sourcelight.llm import exact_dedup, mixing, packing, pii, url_rules
 from sourcelight.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def tokenizer_files() -> tuple[str, str, str]:
+    """Encoder arguments of the byte-level vocabulary that the contract names."""
+    import public_tokenizers as P
+
+    return P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+
+
 #: host, path, verdict: the contract's rules
 URL_RULES = (
     ("com", "/", "allow"),
@@ -53,3 +60,9 @@ def op8_pii(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"
     )
+
+
+@query
+def op9_packing(spark, sf_dir):
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_files())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
