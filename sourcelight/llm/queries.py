@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelight.llm import exact_dedup, mixing, packing, pii, url_rules
-from sourcelight.llm.common import table
+from sourcelight.llm import exact_dedup, mixing, packing, pii, simhash, url_rules
+from sourcelight.llm.common import saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -66,3 +66,16 @@ def op8_pii(spark, sf_dir):
 def op9_packing(spark, sf_dir):
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_files())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op5_simhash(spark, sf_dir):
+    """Every 50th document also asks how many others lie within three bits."""
+    prints = saved(simhash.edited_fingerprints(table(spark, sf_dir, "documents")), "simhash-prints")
+    near = simhash.near_counts(prints.select("doc_id", "f1", "f2"), F.col("doc_id") % 50 == 0, radius=3)
+    return prints.join(near.withColumnRenamed("doc_id", "_asked"), F.col("doc_id") == F.col("_asked"), "left").select(
+        "doc_id", "n_chars", "edited_sha256",
+        simhash.told(F.col("f1"), F.col("f2")).alias("fingerprint"),
+        simhash.told(F.col("e1"), F.col("e2")).alias("edited_fingerprint"),
+        "near_edited", "near_next", "n_near",
+    )
