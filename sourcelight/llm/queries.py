@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelight.llm import exact_dedup, mixing, packing, pii, simhash, url_rules
+from sourcelight.llm import exact_dedup, html_text, mixing, packing, pii, simhash, url_rules
 from sourcelight.llm.common import saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op1_mixing(spark, sf_dir):
     return placed.select("doc_id", "source", "n_tokens", "epoch", "block", "place")
 
 
+@query
+def op2_main_text(spark, sf_dir):
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
