@@ -23,6 +23,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # else each state partition reserves 4 MB of disk whatever it holds
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 ARRIVAL = "doc_id bigint, digest string, locator string"
 
