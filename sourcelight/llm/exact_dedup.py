@@ -92,7 +92,7 @@ def _clashing(texts: DataFrame, repeated: DataFrame, spread: int) -> DataFrame:
     size sends one pair of texts per task; the salt keeps the filtering join
     from gathering a group.
     """
-    wanted = repeated.select(F.col("digest").alias("_digest"), salts(spread).alias("_salt"))
+    wanted = repeated.select(F.col("digest").alias("_digest"), salts(spread).alias("_salt")).hint("merge")
     held = texts.withColumn("_s", salt(spread, "doc_id"))
     held = held.join(
         wanted, (held["digest"] == wanted["_digest"]) & (held["_s"] == wanted["_salt"]), "left_semi"
