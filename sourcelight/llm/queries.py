@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelight.llm import exact_dedup, html_text, mixing, packing, pii, simhash, url_rules
+from sourcelight.llm import exact_dedup, html_text, mixing, packing, pii, simhash, spans, url_rules
 from sourcelight.llm.common import saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,8 @@ def op5_simhash(spark, sf_dir):
         simhash.told(F.col("e1"), F.col("e2")).alias("edited_fingerprint"),
         "near_edited", "near_next", "n_near",
     )
+
+
+@query
+def op10_span_dedup(spark, sf_dir):
+    return spans.drop_repeated_passages(table(spark, sf_dir, "documents"))
