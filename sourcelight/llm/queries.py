@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelight.llm import exact_dedup, html_text, mixing, packing, pii, simhash, spans, url_rules
+from sourcelight.llm import exact_dedup, html_text, mixing, packing, pii, quality, simhash, spans, url_rules
 from sourcelight.llm.common import saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,8 @@ def op5_simhash(spark, sf_dir):
 @query
 def op10_span_dedup(spark, sf_dir):
     return spans.drop_repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
