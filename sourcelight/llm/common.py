@@ -56,6 +56,9 @@ def salts(n: int) -> Column:
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``ids`` (one column, unique, null matches null); columns as they were."""
-    gone = ids.toDF("_gone_id")
+    """Rows of ``docs`` whose doc_id is not in ``ids`` (one column, null matches null); columns as they were.
+
+    A merge join at every size: the list grows with the corpus.
+    """
+    gone = ids.toDF("_gone_id").hint("merge")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")

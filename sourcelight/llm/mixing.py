@@ -179,7 +179,7 @@ def mixed_documents(docs: DataFrame, **limits) -> DataFrame:
     drawn = mix_sources(docs, **limits).groupBy("doc_id", "source", "text_hash").agg(
         F.count(F.lit(1)).cast("int").alias("_times")
     )
-    drawn = drawn.toDF("_drawn_id", "_drawn_source", "_drawn_hash", "_drawn_times")
+    drawn = drawn.toDF("_drawn_id", "_drawn_source", "_drawn_hash", "_drawn_times").hint("merge")
     hashed = docs.withColumn("_drawn_text", F.sha2(whole_text().cast("binary"), 256))
     both = hashed.join(
         drawn,

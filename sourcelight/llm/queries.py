@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelight.llm import exact_dedup, html_text, mixing, packing, pii, quality, simhash, spans, url_rules
+from sourcelight.llm import exact_dedup, html_text, mixing, packing, parity_join, pii, quality, simhash, spans, url_rules
 from sourcelight.llm.common import saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,9 @@ def op10_span_dedup(spark, sf_dir):
 @query
 def op4_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_parity_join(spark, sf_dir):
+    like = parity_join.Likeness(words=4, num=85, den=100)
+    return parity_join.similar_groups(table(spark, sf_dir, "documents"), like)
