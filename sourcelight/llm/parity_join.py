@@ -271,7 +271,7 @@ def similar_groups(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     return out.select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "first").alias("component_id"),
+        F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("component", "first")).alias("component_id"),
     ).withColumn("component_id", F.when(F.col("component_id") != NO_ID, F.col("component_id")))
 
 

@@ -71,12 +71,13 @@ def told(f1: Column, f2: Column) -> Column:
 
 
 def _block(start: int, end: int) -> Column:
-    """Bits start to end (exclusive) of the fingerprint as a number; blocks do not span more than 63 bits."""
+    """Bits start to end (exclusive) of the fingerprint as a number; at most 64 bits."""
     taken = F.lit(0).cast("bigint")
     for n, low in ((1, 0), (2, 64)):
         a, b = max(start, low) - low, min(end, low + 64) - low
         if a < b:
-            part = F.shiftrightunsigned(F.col(f"f{n}"), a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+            part = F.shiftrightunsigned(F.col(f"f{n}"), a)
+            part = part if b - a == 64 else part.bitwiseAND(F.lit((1 << (b - a)) - 1))
             taken = taken.bitwiseOR(F.shiftleft(part, low + a - start))
     return taken
 
