@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from sourcelight.operators import access, catalog, clauses, conversation, evaluation, evidence, feedback, retrieval
 from sourcelight.operators.chunking import split_documents
@@ -82,15 +81,27 @@ class Engine:
 
     # --- contracts ---
     def contracts(self) -> DataFrame:
-        try:
-            return self.spark.read.parquet(self.contract_path)
-        except AnalysisException:  # nothing uploaded yet
+        """Uploaded contracts with the roles that the permission table gives them now; without an entry, legal alone."""
+        if not files.path_exists(self.spark, self.contract_path):
             return self.spark.createDataFrame([], stores.DOCUMENT_SCHEMA)
+        stored = self.spark.read.parquet(self.contract_path)
+        return access.attach_roles(stored.drop("allowed_roles"), self.permissions.read())
 
     def upload_contracts(self, directory: str, actor_role: str, allowed_roles: Sequence[str]) -> None:
         new = files.load_directory(self.spark, directory, "contracts", self.pdf_parser)
+        self._accept(new, actor_role, allowed_roles)
+
+    def upload_files(self, uploads: DataFrame, actor_role: str, allowed_roles: Sequence[str]) -> None:
+        """Contracts as (filename, content_base64) rows."""
+        content = files.decoded_uploads(uploads)
+        parsed = files.parse_files(content, "contracts", self.pdf_parser)
+        self._accept(files.with_distinct_ids(parsed, content), actor_role, allowed_roles)
+
+    def _accept(self, new: DataFrame, actor_role: str, allowed_roles: Sequence[str]) -> None:
+        """Append a batch, then grant its roles; in between only legal sees it."""
         accepted = stores.upload_contracts(new, self.contracts(), actor_role, allowed_roles)
         accepted.write.mode("append").parquet(self.contract_path)
+        self.permissions.grant([r["source_path"] for r in accepted.select("source_path").collect()], allowed_roles)
 
     def list_contracts(self, role: str) -> DataFrame:
         return access.list_contracts(self.contracts(), role)

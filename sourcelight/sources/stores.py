@@ -9,7 +9,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from sourcelight.functions.hashing import hash_vectors
 from sourcelight.operators.access import check_role
@@ -18,7 +17,7 @@ from sourcelight.operators.retrieval import prepare_chunks
 from sourcelight.operators.chunking import split_documents
 from sourcelight.rules import vocabulary as V
 from sourcelight.settings import DEFAULT_SETTINGS, Settings
-from sourcelight.sources.files import fingerprint
+from sourcelight.sources.files import fingerprint, path_exists
 
 INDEX_VERSION = 1
 DOCUMENT_SCHEMA = (
@@ -48,10 +47,11 @@ class IndexStore:
         return fingerprint(documents, self.settings_key()).first()["fingerprint"]
 
     def metadata(self) -> dict | None:
-        try:
-            return self.spark.read.parquet(f"{self.folder}/metadata").first().asDict()
-        except AnalysisException:
+        """The newest build's row, or None before the first build. A table that cannot be read is an error."""
+        if not path_exists(self.spark, f"{self.folder}/metadata"):
             return None
+        newest = self.spark.read.parquet(f"{self.folder}/metadata").orderBy(F.desc("built_at"), F.desc("build")).first()
+        return newest.asDict() if newest else None
 
     def exists(self) -> bool:
         return self.metadata() is not None
@@ -59,20 +59,22 @@ class IndexStore:
     def build(self, documents: DataFrame, force: bool = False) -> dict:
         """Write the index unless the stored one has the same fingerprint.
 
-        Tables are written to a new folder per build; the one-row metadata is
-        replaced last, so a failed build leaves the previous index in use.
+        Tables are written to a new folder per build, and a row of metadata is
+        appended last, so a failed build leaves the previous index in use. The
+        files are parsed once: all else is derived from the written documents.
         """
-        digest = self.corpus_fingerprint(documents)
+        built = f"build-{uuid.uuid4().hex}"
+        base = f"{self.folder}/{built}"
+        documents.write.parquet(f"{base}/documents")
+        parsed = self.spark.read.schema(documents.schema).parquet(f"{base}/documents")
+        digest = self.corpus_fingerprint(parsed)
         current = self.metadata()
         if current and current["fingerprint"] == digest and not force:
             return current
-        chunks = split_documents(documents, self.settings)
-        if not chunks.take(1):
-            raise ValueError("no document content to index")
-        built = f"build-{digest[:16]}-{uuid.uuid4().hex}"
-        base = f"{self.folder}/{built}"
-        documents.write.parquet(f"{base}/documents")
+        chunks = split_documents(parsed, self.settings)
         prepare_chunks(chunks).write.partitionBy("knowledge_base_id").parquet(f"{base}/chunks")
+        if chunks.isEmpty():
+            raise ValueError("no document content to index")
         stored = self.spark.read.parquet(f"{base}/chunks")
         if self.settings.vector_mode == "hash":
             hash_vectors(
@@ -87,7 +89,7 @@ class IndexStore:
             "effective_embedding_provider": "local" if self.settings.vector_mode == "hash" else "bm25_only",
         }
         row = self.spark.createDataFrame([meta]).withColumn("built_at", F.current_timestamp())
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/metadata")
+        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/metadata")
         return self.metadata()
 
     def _table(self, name: str) -> DataFrame:
@@ -144,11 +146,11 @@ class FeedbackStore:
 
     def read(self) -> DataFrame:
         """All records; a table of another structure is refused."""
-        try:
-            stored = self.spark.read.parquet(self.path)
-        except AnalysisException:
+        if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], FEEDBACK_SCHEMA)
-        if stored.columns != T.StructType.fromDDL(FEEDBACK_SCHEMA).names:
+        stored = self.spark.read.parquet(self.path)
+        told = [(f.name, f.dataType) for f in T.StructType.fromDDL(FEEDBACK_SCHEMA)]
+        if [(f.name, f.dataType) for f in stored.schema] != told:
             raise ValueError("feedback table has another structure; it was left unchanged")
         return stored
 
@@ -160,12 +162,11 @@ class PermissionStore:
         self.spark, self.path = spark, path
 
     def read(self) -> DataFrame:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target):
+        if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], ACL_SCHEMA)
-        rows = self.spark.read.text(self.path, wholetext=True).select(
-            F.from_json("value", "map<string,array<string>>", {"mode": "FAILFAST"}).alias("m")
-        )
+        written = F.struct("_metadata.file_modification_time", "_metadata.file_name")
+        newest = self.spark.read.text(self.path, wholetext=True).orderBy(written.desc()).limit(1)
+        rows = newest.select(F.from_json("value", "map<string,array<string>>", {"mode": "FAILFAST"}).alias("m"))
         known = F.forall("allowed_roles", lambda r: r.isNotNull() & r.isin(*V.ROLES))
         entries = rows.select(F.explode("m").alias("source_path", "allowed_roles"))
         return entries.withColumn(
@@ -180,8 +181,13 @@ class PermissionStore:
             for role in roles:
                 check_role(role)
         text = json.dumps({k: list(v) for k, v in permissions.items()}, ensure_ascii=False)
-        # One small configuration row; the overwrite is committed as a whole.
-        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(self.path)
+        # A new file beside the old ones, which stay in force until it is committed.
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("append").text(self.path)
+
+    def grant(self, names: Sequence[str], roles: Sequence[str]) -> None:
+        """Set the roles of some files, leaving those of others."""
+        now = {r["source_path"]: list(r["allowed_roles"]) for r in self.read().collect()}
+        self.write({**now, **{name: sorted(set(roles)) for name in names}})
 
 
 def upload_contracts(

@@ -1,5 +1,6 @@
-"""The whole service surface on a small folder, and the HTTP plug-ins."""
+"""The whole service surface on a small folder."""
 
+import base64
 import json
 import tempfile
 from pathlib import Path
@@ -9,7 +10,6 @@ import pytest
 from sourcelight import cli
 from sourcelight.engine import Engine
 from sourcelight.operators import evaluation
-from sourcelight.sources import providers
 
 
 @pytest.fixture(scope="module")
@@ -63,20 +63,15 @@ def test_command_line(spark, folder, capsys, monkeypatch):
     assert json.loads(capsys.readouterr().out)["evidence_sufficient"] is True
 
 
-def test_providers():
-    embed = providers.build_embedding(
-        "openai_compatible", base_url="http://x", api_key="k", model="m",
-        post=lambda url, payload, headers, timeout: {"data": [{"index": 1, "embedding": [2]}, {"index": 0, "embedding": [1]}]})
-    assert embed(["a", "b"]) == [[1.0], [2.0]]
-    with pytest.raises(RuntimeError):
-        embed(["a"])
-    for reply in ({"choices": []}, {"choices": [{"message": {"content": " "}}]}, {}):
-        chat = providers.build_chat("openai", base_url="http://x", api_key="k", model="m", post=lambda *a, r=reply: r)
-        with pytest.raises(RuntimeError):
-            chat("q")
-    assert providers.build_chat("ollama", base_url="http://x", model="m", post=lambda *a: {"message": {"content": " ok "}})("q") == "ok"
-    assert providers.build_embedding("local") is None
+def test_permissions_decide_what_is_visible(spark, folder, tmp_path):
+    engine = Engine(spark, str(tmp_path / "kb"))
+    content = base64.b64encode("# 合同\n甲方：某公司".encode()).decode()
+    uploads = spark.createDataFrame([("c.md", content)], "filename string, content_base64 string")
+    engine.upload_files(uploads, "legal", ["business"])
+    assert [r["document_id"] for r in engine.list_contracts("business").collect()] == ["c"]
+    engine.permissions.grant(["c.md"], ["legal"])
+    assert engine.list_contracts("business").count() == 0 and engine.list_contracts("legal").count() == 1
+    with pytest.raises(Exception, match="合同文件内容编码无效"):
+        engine.upload_files(spark.createDataFrame([("d.md", "***")], uploads.schema), "legal", ["legal"])
     with pytest.raises(ValueError):
-        providers.build_chat("other")
-    with pytest.raises(ValueError):
-        providers.build_chat("openai", base_url="http://x", api_key="", model="m")
+        engine.upload_files(uploads, "legal", ["legal"])

@@ -284,3 +284,47 @@ def test_news_selection_equals_greedy(spark, seed):
     plain = [tuple(r) for r in df.collect()]
     got = news.select_news(df, reserved=("s5", "hot")).orderBy("position").collect()
     assert [r["item_id"] for r in got] == greedy(plain, ("s5", "hot"))
+
+
+@pytest.mark.parametrize(
+    ("names", "want"),
+    [
+        (["a.md", "a.txt", "a-txt.md", "a-txt-2.md"], ["a", "a-txt-3", "a-txt", "a-txt-2"]),
+        (["b.md", "b.MD", "b.Md", "b-md-2.txt"], None),
+        (["c-md-md.txt", "c-md.md", "c-md.txt", "c.md", "c.txt", "c.markdown"], None),
+    ],
+)
+def test_ids_of_clashing_names(spark, tmp_path, names, want):
+    """As if files took their ids one by one in name order."""
+    for name in names:
+        (tmp_path / name).write_text("text of " + name)
+    (tmp_path / "skipped.csv").write_text("a,b")
+    got = {r["source_path"]: r["document_id"] for r in files.load_directory(spark, str(tmp_path)).collect()}
+    used, expected = set(), {}
+    for name in sorted(names):
+        stem, suffix = name.rsplit(".", 1)
+        free, n = stem, 1
+        while free in used:
+            free = f"{stem}-{suffix.lower()}" + (f"-{n}" if n > 1 else "")
+            n += 1
+        used.add(free)
+        expected[name] = free
+    assert got == expected
+    if want:
+        assert [got[n] for n in names] == want
+
+
+def test_feedback_of_other_types_is_refused(spark, tmp_path):
+    path = str(tmp_path / "feedback")
+    names = ["feedback_id", "question", "answer", "rating", "reason"]
+    spark.range(1).select(*[F.lit("x").alias(n) for n in names], F.lit(1).alias("created_at")).write.parquet(path)
+    with pytest.raises(ValueError):
+        stores.FeedbackStore(spark, path).read()
+
+
+def test_a_table_that_cannot_be_read_is_an_error(spark, tmp_path):
+    broken = tmp_path / "index" / "metadata"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        stores.IndexStore(spark, str(tmp_path / "index")).metadata()
