@@ -14,18 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SCAN_PARTITIONS = "spark.sourcelight.scanPartitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for an input too small to be split by the scan.
+    """Deal rows out anew if the session asks for it by ``spark.sourcelight.scanPartitions``.
 
-    A file of one row group is one task, whatever its compute cost. Inputs
-    larger than one scan split per core are left alone, so big tables are
-    never shuffled here.
+    For tables stored as one row group, which a scan cannot split, whatever the
+    compute cost. Unset, as on a cluster with split files, nothing is moved.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split else df
+    wanted = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,7 +145,7 @@ cases AS (SELECT query_id AS case_id, coalesce(min(source_path), '') AS expected
   FROM questions LEFT JOIN held USING (query_id) GROUP BY query_id),
 src AS (SELECT query_id, source_path, min(rank) AS fr FROM hybrid GROUP BY ALL),
 srank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fr, source_path) AS sr FROM src),
-words AS (SELECT query_id, list_slice({_tok('qtext')}, 1, 3) AS kw FROM questions),
+words AS (SELECT query_id, list_distinct({_tok('qtext')}) AS kw FROM questions),
 texts AS (SELECT case_id, lower(string_agg(content, chr(10) ORDER BY rank)) AS body FROM cases JOIN hybrid h
   ON h.query_id = case_id AND h.source_path = expected_source GROUP BY case_id),
 rows0 AS (SELECT c.*, CASE WHEN should_refuse THEN 0 ELSE coalesce((SELECT sr FROM srank s WHERE s.query_id = case_id
@@ -170,7 +170,7 @@ PAIRS = f"""{USER_TURNS}, pairs AS (SELECT conv_id, turn, role, text AS message,
 
 def _judged(n: int, with_adaptation: bool) -> str:
     judge = f"""CASE WHEN turn % 4 <> 0 THEN contains(answer, '依据不足') ELSE NOT contains(answer, '依据不足')
-      AND len(list_filter(list_slice(words, 1, {n}), lambda k: NOT contains(answer, k))) = 0 END"""
+      AND len(list_filter(words, lambda k: length(k) <= {n + 1} AND NOT contains(answer, k))) = 0 END"""
     passed = judge if with_adaptation else f"CASE WHEN reply IS NOT NULL THEN {judge} END"
     return f"""SELECT {str(with_adaptation).lower()} AS adaptation_enabled, conv_id || '-' || turn AS case_id,
       CASE WHEN turn % 4 = 0 THEN 'answer' ELSE 'refusal' END AS expected, {passed} AS passed
@@ -272,7 +272,8 @@ def oracle_sql() -> dict[str, str]:
       len(string_split(content, chr(10))) AS n_lines FROM docs"""
     s["doc_metadata"] = rf"""WITH {DOCS} SELECT document_id, document_id AS title, '企业制度' AS category, 'txt' AS source_type,
       len(regexp_extract_all(content, '(?m)^#{{2,4}}\s+(.+?)\s*$')) AS section_count, false AS is_catalog,
-      substr(replace(content, chr(10), ' '), 1, 80) AS preview, '' AS version FROM docs"""
+      substr(replace(content, chr(10), ' '), 1, 80) AS preview, '' AS version,
+      '' AS effective_date, '' AS department, '' AS owner FROM docs"""
     s["token_counts"] = f"""WITH {DOCS} SELECT document_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_terms
       FROM (SELECT document_id, {_tok('content')} AS t FROM docs)"""
     s["term_frequencies"] = f"""WITH {DOCS} SELECT document_id, term, count(*) AS tf FROM
@@ -337,10 +338,10 @@ def oracle_sql() -> dict[str, str]:
       round(max(CASE WHEN i = 1 THEN x / n END), 6) AS first FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS n FROM
       (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)) GROUP BY 1"""
     s["rrf_fusion"] = """WITH j AS (SELECT d.doc_id, lang, n_chars, quality, toxic FROM documents d JOIN labels USING (doc_id)),
-      r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM j
+      r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents
         UNION ALL SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY quality DESC, toxic, doc_id) FROM j
-        UNION ALL SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) FROM j),
-      f AS (SELECT lang AS query_id, printf('%012d', doc_id) AS item_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM r WHERE rank <= 100 GROUP BY ALL)
+        UNION ALL SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) FROM documents),
+      f AS (SELECT lang AS query_id, printf('%012d', doc_id) AS item_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM r GROUP BY ALL)
       SELECT query_id, item_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM f"""
     s["hybrid_topk"] = f"""WITH {HYBRID} SELECT query_id, rank, chunk_id, round(rrf, 9) AS rrf_score, vector_score, bm25_score FROM hybrid"""
     s["answer_sources"] = f"""WITH {HYBRID} SELECT query_id, rank, document_id AS title, section, source_path, 'txt' AS source_type,
@@ -383,7 +384,7 @@ def oracle_sql() -> dict[str, str]:
       THEN '上一问：' || previous || chr(10) || '当前追问：' || {q} ELSE {q} END AS question FROM conv WHERE role = 'user'"""
     s["turn_pairs"] = f"WITH {PAIRS} SELECT * FROM pairs"
     s["recent_history"] = f"""SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n
-      FROM conversations) WHERE n <= 4 AND role IN ('user', 'assistant') AND {q} <> ''"""
+      FROM conversations) WHERE n <= 8 AND role IN ('user', 'assistant') AND {q} <> ''"""
     flatq = _compact("lower(text)")
     s["route_questions"] = f"""SELECT CASE WHEN {q} = '' THEN 'invalid' WHEN {_any(flatq, ('une', 'the'))} THEN 'catalog'
       WHEN {_any(flatq, ('ion', 'ung'))} THEN 'project_meta' ELSE 'retrieval' END AS route, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1"""

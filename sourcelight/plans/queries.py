@@ -59,7 +59,7 @@ def doc_metadata(spark, sf):
         F.size(X.section_titles(F.col("content"))).alias("section_count"),
         X.is_catalog(F.col("content")).alias("is_catalog"),
         X.preview(F.col("content")).alias("preview"),
-        *[v.alias(k) for k, v in X.policy_metadata(F.col("content")).items() if k == "version"],
+        *[v.alias(k) for k, v in X.policy_metadata(F.col("content")).items()],
     )
 
 
@@ -231,17 +231,7 @@ def vector_topk(spark, sf):
     """Nearest vectors to each label's mean vector."""
     table = _vector_table(spark, sf)
     asked = _centroids(corpus.table(spark, sf, "embeddings")).withColumnRenamed("label", "query_id")
-    cap = LATIN.max_broadcast_queries
-    rows = asked.orderBy("query_id").limit(cap + 1).toPandas()
-    if len(rows) > cap:
-        found = vectors.grid_top_k(table.drop("label"), asked, TOP_K)
-        return found.select("query_id", "rank", "chunk_id", "score")
-    leg = vectors.DenseLeg(rows["vector"].tolist())
-    lookup = spark.createDataFrame(
-        [(i, int(q)) for i, q in enumerate(rows["query_id"])], "query_no int, query_id int"
-    )
-    found = topk.scan_top_k(table, [leg], len(rows), TOP_K, ["chunk_id", "document_id", "chunk_index"])
-    return found.join(F.broadcast(lookup), "query_no").select("query_id", "rank", "chunk_id", "score")
+    return vectors.block_top_k(table, asked, TOP_K, LATIN).select("query_id", "rank", "chunk_id", "score")
 
 
 @query
@@ -265,24 +255,24 @@ def vector_norms(spark, sf):
 
 @query
 def rrf_fusion(spark, sf):
-    """Fusion of three top-100 lists of documents per language: length, quality, id."""
+    """Fusion of three rankings of the documents per language: length, quality (labelled ones), id."""
     docs = corpus.table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     quality = corpus.table(spark, sf, "labels").select("doc_id", "quality", "toxic")
-    joined = docs.join(quality, "doc_id")
+    rated = docs.join(quality, "doc_id")
 
-    def ranking(list_id: int, *order):
+    def ranking(list_id: int, rows: DataFrame, *order):
         w = Window.partitionBy("lang").orderBy(*order)
-        return joined.select(
+        return rows.select(
             F.col("lang").alias("query_id"),
             F.lit(list_id).alias("list_id"),
             F.format_string("%012d", "doc_id").alias("item_id"),
             F.row_number().over(w).alias("rank"),
-        ).where(F.col("rank") <= 100)
+        )
 
     lists = (
-        ranking(1, F.desc("n_chars"), "doc_id")
-        .unionByName(ranking(2, F.desc("quality"), F.asc("toxic"), "doc_id"))
-        .unionByName(ranking(3, "doc_id"))
+        ranking(1, docs, F.desc("n_chars"), "doc_id")
+        .unionByName(ranking(2, rated, F.desc("quality"), F.asc("toxic"), "doc_id"))
+        .unionByName(ranking(3, docs, "doc_id"))
     )
     return retrieval.reciprocal_rank_fusion(lists, 60)
 
@@ -400,7 +390,7 @@ def _cases(spark, sf):
             F.col("query_id").alias("case_id"),
             "question",
             F.coalesce("expected_source", F.lit("")).alias("expected_source"),
-            F.slice(X.tokens(X.normalize_text(F.col("question"))), 1, 3).alias("expected_keywords"),
+            F.array_distinct(X.tokens(X.normalize_text(F.col("question")))).alias("expected_keywords"),
             F.col("expected_source").isNull().alias("should_refuse"),
         )
     )
@@ -436,20 +426,20 @@ def latency_percentiles(spark, sf):
 
 
 def _quality_rows(spark, sf, adaptations):
-    """Assistant turns as answers to judge: the user's first word is the keyword."""
+    """Assistant turns as answers to judge: the short words of the user's message are the keywords."""
     pairs = conversation.turn_pairs(corpus.table(spark, sf, "conversations")).where(F.col("role") == "user")
     key = F.format_string("%d-%d", "conv_id", "turn")
     words = X.tokens(X.normalize_text(F.col("message")))
     expected = F.when(F.col("turn") % 4 == 0, "answer").otherwise("refusal")
 
     def side(n, vary):
-        return F.struct(expected.alias("expected"), F.slice(words, 1, n).alias("keywords"), vary.alias("may_vary"))
+        return F.struct(expected.alias("expected"), F.filter(words, lambda w: F.length(w) <= n).alias("keywords"), vary.alias("may_vary"))
 
     cases = pairs.select(
         key.alias("case_id"),
         F.col("message").alias("question"),
-        side(1, F.lit(False)).alias("with_adaptation"),
-        side(2, F.col("reply").isNull()).alias("without_adaptation"),
+        side(2, F.lit(False)).alias("with_adaptation"),
+        side(3, F.col("reply").isNull()).alias("without_adaptation"),
         F.lit("").alias("notes"),
         F.coalesce("reply", F.lit("依据不足")).alias("answer"),
     )
@@ -487,7 +477,7 @@ def turn_pairs(spark, sf):
 
 @query
 def recent_history(spark, sf):
-    rows = conversation.recent_history(corpus.table(spark, sf, "conversations"), 4)
+    rows = conversation.recent_history(corpus.table(spark, sf, "conversations"), LATIN.history_limit)
     return rows.select("conv_id", "turn", "role", "text")
 
 

@@ -26,11 +26,10 @@ def build_session(app_name: str = "sourcelight", master: str | None = None, **co
 
 
 def fenced(df: DataFrame, *keys: str) -> DataFrame:
-    """Compute a small per-question table once and spread it over the cores.
+    """Compute a per-question table once and spread it by key.
 
     Without an exchange the optimizer copies a column's expression into every
-    lambda that reads it, where it runs once per array element; and AQE would
-    leave a small table in one task.
+    lambda that reads it, where it runs once per array element. The width is the
+    session's, so adaptive execution may change it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(min(cores, 256), *keys)
+    return df.repartition(*keys)

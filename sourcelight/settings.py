@@ -22,10 +22,10 @@ class Settings:
     adaptations: bool = True
     # "hash" uses feature-hash vectors, "none" is lexical retrieval only.
     vector_mode: str = "hash"
-    # Largest question batch whose matrix is shipped to every task. Larger
-    # batches take the shuffled paths instead.
-    max_broadcast_queries: int = 4096
-    max_broadcast_terms: int = 200_000
+    # Questions and question tokens that one scan of the corpus serves; larger
+    # sets are served in as many blocks as it takes, each in the same way.
+    block_questions: int = 256
+    block_tokens: int = 16_384
 
     def __post_init__(self) -> None:
         if self.chunk_size <= 0:
@@ -36,6 +36,8 @@ class Settings:
             raise ValueError("rrf_k must not be negative")
         if self.hash_dim <= 0:
             raise ValueError("hash_dim must be positive")
+        if self.block_questions <= 0 or self.block_tokens <= 0:
+            raise ValueError("question blocks must not be empty")
 
 
 DEFAULT_SETTINGS = Settings()
