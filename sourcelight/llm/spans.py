@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcelight.llm.common import salt, salts, saved, whole_text
+from sourcelight.llm.common import saved, whole_text
 
 SENTENCES, WORDS, LONGEST = 3, 15, 25
 WORD = re.compile(r"\S+\s*")
@@ -74,16 +74,19 @@ def spans(text: str, cuts: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans with their first and last sentence in one number; ``again`` if the document held the same words before."""
     for batch in batches:
         docs: list[int | None] = []
-        rows: list[tuple[int, int, int]] = []
+        rows: list[tuple[int, int, bool]] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             t = text.as_py()
-            found = spans(t, sentences(t))
-            docs.extend([doc] * len(found))
-            rows.extend(found)
-        columns = [pa.array([r[i] for r in rows], k) for i, k in ((2, pa.int64()), (0, pa.int32()), (1, pa.int32()))]
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *columns], names=["doc", "hash", "first", "last"])
+            seen: set[int] = set()
+            for first, last, value in spans(t, sentences(t)):
+                docs.append(doc)
+                rows.append((value, first << 32 | last, value in seen))
+                seen.add(value)
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *columns], names=["doc", "hash", "span", "again"])
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +97,9 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t, ranges = text.as_py(), covered.as_py() or ()
             cuts = sentences(t)
             gone = np.zeros(len(cuts) + 1, dtype=np.int64)
-            for r in ranges:
-                gone[r["first"]] += 1
-                gone[r["last"] + 1] -= 1
+            for span in ranges:
+                gone[span >> 32] += 1
+                gone[(span & 0xFFFFFFFF) + 1] -= 1
             dead = np.cumsum(gone)[:-1] > 0
             kept = "".join(t[a:b] for (a, b), d in zip(cuts, dead, strict=True) if not d)
             out.append((doc.as_py(), kept, len(cuts), int(dead.sum()), len(t) - len(kept)))
@@ -104,27 +107,21 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
 
-def repeated_spans(docs: DataFrame, spread: int = 16) -> DataFrame:
-    """Spans that are not the first of their hash: doc, ranges (array of first, last). ``docs``: doc_id, text.
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """Spans that are not the first of their hash: doc, ranges (array of spans). ``docs``: doc_id, text.
 
-    First places and counts of a hash combine map-side. Only hashes that occur
-    again go into the join, salted by document, so a passage that a third of
-    the documents hold is spread; the join is a merge join at every size.
+    What a document repeats of itself is known where it is read; between
+    documents all but the least doc_id repeat. Least ids and counts of a hash
+    combine map-side, and only hashes that occur again go into the join, a
+    plain merge join whose hot keys are split at run time.
     """
-    found = saved(docs.mapInArrow(_hashed, "doc bigint, hash bigint, first int, last int"), "span-hashes")
-    place = F.struct(F.col("doc"), F.col("first"), F.col("last"))
-    again = (
-        found.groupBy("hash")
-        .agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select(F.col("hash").alias("_h"), "origin", salts(spread).alias("_s"))
-        .hint("merge")
-    )
-    salted = found.withColumn("_salt", salt(spread, "doc", "first"))
-    later = salted.join(again, (F.col("hash") == F.col("_h")) & (F.col("_salt") == F.col("_s"))).where(
-        place != F.col("origin")
-    )
-    return later.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    found = saved(docs.mapInArrow(_hashed, "doc bigint, hash bigint, span bigint, again boolean"), "span-hashes")
+    once = found.where("not again and doc is not null").select("doc", "hash", "span")
+    repeated = once.groupBy("hash").agg(F.min("doc").alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = saved(repeated.select(F.col("hash").alias("_h"), "origin"), "span-repeated").hint("merge")
+    later = once.join(repeated, F.col("hash") == F.col("_h")).where("doc > origin").select("doc", "span")
+    own = found.where("again").select("doc", "span")
+    return later.unionByName(own).groupBy("doc").agg(F.collect_set("span").alias("ranges"))
 
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
