@@ -29,9 +29,9 @@ class Engine:
         pdf_parser: files.PdfParser | None = None,
     ) -> None:
         self.spark, self.settings, self.vocabulary = spark, settings, vocabulary
-        self.embed, self.rerank, self.generate, self.pdf_parser = embed, rerank, generate, pdf_parser
+        self.rerank, self.generate, self.pdf_parser = rerank, generate, pdf_parser
         root = folder.rstrip("/")
-        self.index = stores.IndexStore(spark, f"{root}/index", settings)
+        self.index = stores.IndexStore(spark, f"{root}/index", settings, embed)
         self.feedback = stores.FeedbackStore(spark, f"{root}/feedback")
         self.permissions = stores.PermissionStore(spark, f"{root}/permissions")
         self.contract_path = f"{root}/contracts"
@@ -49,11 +49,13 @@ class Engine:
     def ask(self, questions: DataFrame, extractive: bool = True) -> DataFrame:
         return conversation.ask(
             self.index.chunks(), self.index.documents(), conversation.check_requests(questions), self.settings, self.vocabulary, self.generate,
-            extractive, self.embed, self.rerank,
+            extractive, self.index.search_embedding(), self.rerank,
         )
 
     def search(self, questions: DataFrame, top_k: int | None = None) -> DataFrame:
-        return retrieval.hybrid(self.index.chunks(), questions, self.settings, top_k, self.embed, self.rerank)
+        return retrieval.hybrid(
+            self.index.chunks(), questions, self.settings, top_k, self.index.search_embedding(), self.rerank
+        )
 
     # --- evaluation ---
     def evaluate(self, cases: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from sourcelight.functions.hashing import hash_vectors
 from sourcelight.operators.access import check_role
 from sourcelight.operators.feedback import normalize_feedback
 from sourcelight.operators.retrieval import prepare_chunks
+from sourcelight.operators.vectors import embed_column
 from sourcelight.operators.chunking import split_documents
 from sourcelight.rules import vocabulary as V
 from sourcelight.settings import DEFAULT_SETTINGS, Settings
@@ -33,15 +35,39 @@ class IndexStore:
     """Documents, chunks with tokens, and vectors as Parquet tables in one folder.
 
     Chunks are stored tokenised and partitioned by knowledge base, so searches
-    read only their partition and tokenise nothing.
+    read only their partition and tokenise nothing. A plug-in embedding is
+    called once for each chunk, when the index is built, and its vectors are
+    stored beside the chunks; if it fails there, feature-hash vectors serve
+    instead and the metadata says so.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings = DEFAULT_SETTINGS) -> None:
-        self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings
+    def __init__(
+        self, spark: SparkSession, folder: str, settings: Settings = DEFAULT_SETTINGS, embed: Callable | None = None
+    ) -> None:
+        self.spark, self.folder, self.settings, self.embed = spark, folder.rstrip("/"), settings, embed
 
     def settings_key(self) -> str:
         s = self.settings
-        return f"{INDEX_VERSION}:{s.chunk_size}:{s.chunk_overlap}:{s.vector_mode}:{s.hash_dim}"
+        plugged = ":plugged" if self.embed is not None else ""
+        return f"{INDEX_VERSION}:{s.chunk_size}:{s.chunk_overlap}:{s.vector_mode}:{s.hash_dim}{plugged}"
+
+    def search_embedding(self) -> Callable | None:
+        """The plug-in if the stored vectors are its own."""
+        meta = self.metadata()
+        return self.embed if meta and meta["effective_embedding_provider"] == "plugged" else None
+
+    def _write_chunks(self, prepared: DataFrame, base: str) -> tuple[str, str, str]:
+        """Table name, provider of the vectors, and why it is not the plug-in."""
+        error = ""
+        if self.embed is not None:
+            vectors = prepared.withColumn("vector", embed_column(self.embed)("content"))
+            try:
+                vectors.write.partitionBy("knowledge_base_id").parquet(f"{base}/chunks-plugged")
+                return "chunks-plugged", "plugged", ""
+            except PySparkException as exc:  # the plug-in failed in a task
+                error = type(exc).__name__
+        prepared.write.partitionBy("knowledge_base_id").parquet(f"{base}/chunks")
+        return "chunks", "local" if self.settings.vector_mode == "hash" else "bm25_only", error
 
     def corpus_fingerprint(self, documents: DataFrame) -> str:
         return fingerprint(documents, self.settings_key()).first()["fingerprint"]
@@ -72,11 +98,11 @@ class IndexStore:
         if current and current["fingerprint"] == digest and not force:
             return current
         chunks = split_documents(parsed, self.settings)
-        prepare_chunks(chunks).write.partitionBy("knowledge_base_id").parquet(f"{base}/chunks")
         if chunks.isEmpty():
             raise ValueError("no document content to index")
-        stored = self.spark.read.parquet(f"{base}/chunks")
-        if self.settings.vector_mode == "hash":
+        name, provider, error = self._write_chunks(prepare_chunks(chunks), base)
+        stored = self.spark.read.parquet(f"{base}/{name}")
+        if provider == "local":
             hash_vectors(
                 stored.select("chunk_id", "document_id", "chunk_index", "content"), self.settings.hash_dim
             ).write.parquet(f"{base}/vectors")
@@ -85,8 +111,12 @@ class IndexStore:
             "build": built,
             "document_count": self.spark.read.parquet(f"{base}/documents").count(),
             "chunk_count": stored.count(),
-            "dimension": self.settings.hash_dim if self.settings.vector_mode == "hash" else 0,
-            "effective_embedding_provider": "local" if self.settings.vector_mode == "hash" else "bm25_only",
+            "chunk_table": name,
+            "dimension": {"local": self.settings.hash_dim, "bm25_only": 0}.get(provider) if provider != "plugged" else (
+                stored.select(F.max(F.size("vector"))).first()[0]
+            ),
+            "effective_embedding_provider": provider,
+            "embedding_error": error,
         }
         row = self.spark.createDataFrame([meta]).withColumn("built_at", F.current_timestamp())
         row.coalesce(1).write.mode("append").parquet(f"{self.folder}/metadata")
@@ -102,12 +132,13 @@ class IndexStore:
         return self._table("documents")
 
     def chunks(self, knowledge_base_id: str = "policy") -> DataFrame:
-        return self._table("chunks").where(F.col("knowledge_base_id") == knowledge_base_id)
+        name = (self.metadata() or {}).get("chunk_table", "chunks")
+        return self._table(name).where(F.col("knowledge_base_id") == knowledge_base_id)
 
     def vectors(self, expected_fingerprint: str | None = None) -> DataFrame:
         """Stored vectors after checking count, size and fingerprint."""
         meta = self.metadata()
-        table = self._table("vectors")
+        table = self._table("vectors" if meta["effective_embedding_provider"] == "local" else meta["chunk_table"])
         figures = table.agg(
             F.count("*").alias("n"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high")
         ).first()

@@ -75,3 +75,30 @@ def test_permissions_decide_what_is_visible(spark, folder, tmp_path):
         engine.upload_files(spark.createDataFrame([("d.md", "***")], uploads.schema), "legal", ["legal"])
     with pytest.raises(ValueError):
         engine.upload_files(uploads, "legal", ["legal"])
+
+
+def test_plugged_embedding_is_stored(spark, folder, tmp_path):
+    """Each chunk is embedded once, at the build; searches embed their question only; a failing plug-in leaves hash vectors."""
+    log = tmp_path / "calls"
+
+    def embed(texts):
+        with log.open("a") as out:
+            out.write("".join(f"{len(t)}\n" for t in texts))
+        return [[float(t.count("假") + 1), float(t.count("差") + 1)] for t in texts]
+
+    engine = Engine(spark, str(tmp_path / "kb"), embed=embed)
+    meta = engine.rebuild(str(folder / "docs"))
+    built = len(log.read_text().split())
+    assert meta["effective_embedding_provider"] == "plugged" and meta["dimension"] == 2
+    assert built == meta["chunk_count"] == engine.index.vectors().count()
+    asked = spark.createDataFrame([("q", "婚假为几个工作日")], "query_id string, question string")
+    assert engine.search(asked, 2).where("vector_score is not null").count() > 0
+    assert len(log.read_text().split()) == built + 1
+
+    def broken(texts):
+        raise RuntimeError("no service")
+
+    other = Engine(spark, str(tmp_path / "kb2"), embed=broken)
+    assert other.rebuild(str(folder / "docs"))["effective_embedding_provider"] == "local"
+    rows = other.search(asked, 2).collect()
+    assert rows and all(r["vector_error"] == "" for r in rows) and any(r["vector_score"] is not None for r in rows)
