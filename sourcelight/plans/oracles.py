@@ -6,6 +6,7 @@ check on small data, not a plan.
 
 from __future__ import annotations
 
+from sourcelight.plans import rendered
 from sourcelight.rules import clauses as CL
 from sourcelight.rules import news as N
 from sourcelight.rules import vocabulary as V
@@ -432,7 +433,7 @@ def oracle_sql() -> dict[str, str]:
     s["news_selection"] = f"""WITH RECURSIVE {NEWS}, done AS (SELECT taken FROM greedy ORDER BY step DESC LIMIT 1),
       t AS (SELECT unnest(taken) AS t, generate_subscripts(taken, 1) AS i FROM done)
       SELECT t.id AS item_id, CAST(i AS INTEGER) AS position, t.p AS phase, t.s AS source FROM t"""
-    return s
+    return {**s, **rendered.oracle_sql()}
 
 
 def _escape(x: str) -> str:

@@ -15,7 +15,7 @@ from sourcelight.operators import (
     access, catalog, chunking, clauses, compose, conversation, evaluation, evidence, feedback, lexical, news,
     retrieval, topk, vectors,
 )
-from sourcelight.plans import corpus
+from sourcelight.plans import corpus, rendered
 from sourcelight.rules import clauses as CL
 from sourcelight.rules.vocabulary import LATIN_VOCABULARY
 from sourcelight.settings import Settings
@@ -656,3 +656,6 @@ def news_selection(spark, sf):
     return news.select_news(items, reserved=("ththnt.example.com",)).select(
         "item_id", "position", "phase", "source"
     )
+
+
+REGISTRY.update(rendered.QUERIES)
