@@ -23,7 +23,7 @@ EVIDENCE = {
     "payment": ("付款节点：验收后$n日内支付$p元", "按第$n条付款，尽快办理"),
     "parties": ("甲方：$c\n乙方：供应商$k", "甲方：待填写；乙方：供应商$k"),
     "amount": ("含增值税：人民币$p元，不含增值税：$p元", "不含税价$p元，税率另计"),
-    "banking": ("开户银行：第$n银行\n账号：622200$k", "开户银行：\n账号："),
+    "banking": ("开户银行：建设银行第$n支行\n账号：622200$k", "开户银行：\n账号："),
     "insurance": ("承包人应投保工程险，保单号$k", "保险费由双方协商，编号$k"),
     "performance_bond": ("履约保证金为$p元，及时返还", "履约保证金另行约定"),
     "termination_renewal": ("任一方可提前$n日通知解除", "本条不适用，编号$k"),
