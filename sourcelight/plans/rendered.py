@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcelight.functions import text as X
-from sourcelight.operators import clauses, conversation
+from sourcelight.operators import clauses, conversation, news
 from sourcelight.plans import corpus
 from sourcelight.rules import clauses as C
+from sourcelight.rules import news as N
 from sourcelight.rules import vocabulary as V
 
 #: field -> wording that completes it, wording that does not; $x stands for a value of the order
@@ -145,9 +146,45 @@ def policy_metadata(spark, sf) -> DataFrame:
     )
 
 
+def news_pages(spark, sf) -> DataFrame:
+    """A publisher's page per page: page_id, url, html with four kinds of metadata."""
+    pid = F.col("page_id").cast("string")
+    sites = [*N.PUBLISHERS, "other.example"]
+    site = F.get(X.literal_array(sites), (F.col("page_id") % len(sites)).cast("int"))
+    kinds = [
+        F.concat(
+            F.lit('<meta property="og:image" content="/img/'), pid, F.lit('.png?a=1&amp;b=2"><META name="description" content="later">'),
+            F.lit("<meta property='og:description' content='Text "), pid, F.lit(" &amp; more 阅读原文'>"),
+        ),
+        F.concat(
+            F.lit("<meta name='twitter:image' content='https://cdn.example.com/logo.png'><img data-src='https://i.qbitai.com/wp-content/uploads/"),
+            pid, F.lit(".jpg' src='x.gif'>"),
+        ),
+        F.concat(F.lit('<meta name="description" content="Plain '), pid, F.lit('">')),
+        F.lit("<p>no metadata</p>"),
+    ]
+    html = F.concat(F.lit("<html><head>"), _chosen((F.col("page_id") % 4).cast("int"), kinds), F.lit("</head></html>"))
+    return corpus.table(spark, sf, "pages").select(
+        "page_id", F.concat(F.lit("https://www."), site, F.lit("/post/"), pid).alias("url"), html.alias("html")
+    )
+
+
+def news_enriched(spark, sf) -> DataFrame:
+    """Items of all publishers with the photos and summaries that their pages supply."""
+    pages = news_pages(spark, sf)
+    pid, own = F.col("page_id").cast("string"), F.col("page_id") % 5 == 0
+    items = pages.select(
+        "page_id", F.col("url").alias("link"),
+        _chosen((F.col("page_id") % 3).cast("int"), [F.lit(""), F.concat(F.lit("Own "), pid), F.lit(N.EMPTY_SUMMARIES[0])]).alias("summary"),
+        F.when(own, F.concat(F.lit("https://own.example/"), pid)).otherwise("").alias("image"),
+        F.when(own, "photo").otherwise("mark").alias("image_kind"),
+    )
+    return news.enrich(items, news.page_metadata(pages)).select("page_id", "summary", "image", "image_kind")
+
+
 QUERIES = {
     "contract_status": contract_status, "route_policy": route_policy, "followup_policy": followup_policy,
-    "policy_metadata": policy_metadata,
+    "policy_metadata": policy_metadata, "news_enriched": news_enriched,
 }
 
 
@@ -224,7 +261,17 @@ def oracle_sql() -> dict[str, str]:
         "|| CASE WHEN p_size > 25 THEN '本页为目录。' ELSE '附则' END",
     ])
     lines = "list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '\\s', '', 'g')), lambda x: x <> '')"
+    sites = [*N.PUBLISHERS, "other.example"]
     return {
+        "news_enriched": f"""WITH a AS (SELECT page_id, page_id % 4 AS kind, {_case(f'page_id % {len(sites)}', [_q(x) for x in sites])} AS site FROM pages),
+          m AS (SELECT *, site <> 'other.example' AS allowed,
+            CASE WHEN kind = 0 THEN 'https://www.' || site || '/img/' || page_id || '.png?a=1&b=2'
+              WHEN kind = 1 AND site = 'qbitai.com' THEN 'https://i.qbitai.com/wp-content/uploads/' || page_id || '.jpg'
+              WHEN kind = 1 THEN 'https://cdn.example.com/logo.png' ELSE '' END AS found,
+            CASE kind WHEN 0 THEN 'Text ' || page_id || ' & more' WHEN 2 THEN 'Plain ' || page_id ELSE '' END AS told FROM a)
+          SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'Own ' || page_id WHEN allowed THEN told ELSE '' END AS summary,
+            CASE WHEN page_id % 5 = 0 THEN 'https://own.example/' || page_id WHEN allowed THEN found ELSE '' END AS image,
+            CASE WHEN page_id % 5 = 0 OR allowed AND found <> '' THEN 'photo' ELSE 'mark' END AS image_kind FROM m""",
         "contract_status": f"""WITH {_evidence_sql()}, f AS (SELECT *, regexp_replace(evidence, '\\s', '', 'g') AS flat FROM e),
           s AS (SELECT *, CASE WHEN evidence = '' THEN 'missing' WHEN {by_field(lambda c: '(' + _complete_sql(c) + ')')} THEN 'found' ELSE 'incomplete' END AS status,
             {by_field(lambda c: _q(c.label))} AS label, {vague} AS vague FROM f)
