@@ -40,8 +40,10 @@ def plain_text(c: Column, limit: int = N.SUMMARY_LIMIT) -> Column:
     t = F.regexp_replace(t, r"<[^>]+>", " ")
     t = F.regexp_replace(t, r"[#*_`>|\[\]]+", " ")
     t = strip(F.regexp_replace(t, _WS_RUN, " "))
-    if not limit:
-        return t
+    return cut(t, limit) if limit else t
+
+
+def cut(t: Column, limit: int) -> Column:
     return F.when(
         F.length(t) > limit, F.concat(F.rtrim(F.substring(t, 1, limit)), F.lit("…"))
     ).otherwise(t)
@@ -49,7 +51,12 @@ def plain_text(c: Column, limit: int = N.SUMMARY_LIMIT) -> Column:
 
 def summary(c: Column) -> Column:
     """Plain text without read-more phrases and stock sentences."""
-    t = strip(F.regexp_replace(plain_text(c), N.READ_MORE, ""))
+    return summary_of_plain(plain_text(c, 0))
+
+
+def summary_of_plain(t: Column) -> Column:
+    """The summary of a fragment whose whole plain text is known."""
+    t = strip(F.regexp_replace(cut(t, N.SUMMARY_LIMIT), N.READ_MORE, ""))
     return F.when(t.isin(*N.EMPTY_SUMMARIES), F.lit("")).otherwise(t)
 
 

@@ -79,7 +79,7 @@ def term_frequencies(spark, sf):
 @query
 def term_df_idf(spark, sf):
     docs = lexical.with_tokens(corpus.documents(spark, sf)).select("tokens")
-    n = lexical.corpus_size(docs).first()["n"]
+    n = corpus.table(spark, sf, "documents").count()
     return lexical.document_frequencies(docs).select(
         "term", "df", F.round(lexical.idf(F.lit(float(n)), F.col("df")), 6).alias("idf")
     )
@@ -600,9 +600,8 @@ def _pages(spark, sf):
 
 @query
 def page_text(spark, sf):
-    return _pages(spark, sf).select(
-        "page_id", html.plain_text(F.col("html"), 0).alias("text"), html.summary(F.col("html")).alias("summary")
-    )
+    plain = _pages(spark, sf).select("page_id", html.plain_text(F.col("html"), 0).alias("text"))
+    return plain.select("page_id", "text", html.summary_of_plain(F.col("text")).alias("summary"))
 
 
 @query
