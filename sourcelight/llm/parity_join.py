@@ -5,10 +5,11 @@ distance of two sketches never exceeds the symmetric difference of the sets;
 nor does the number of sketch blocks in which they differ. Sets that reach the
 similarity differ in at most D shingles, D given by their sizes. Within a band
 of sizes, sketches are cut into D + 1 + 2s blocks: two similar sets agree on
-2s + 1 blocks at least, so each may leave out its s emptiest ones and still one
-common block is joined on. Blocks are wide, and kept as the XOR of their bits'
-random numbers. Short sketches of 1,024 bits then screen the pairs, and the sets
-themselves decide.
+2s + 1 blocks at least, so each may leave out any s (more, if it is small in its
+band) and still one common block is joined on. A document leaves out those that most documents share (empty ones,
+and what common passages fill), so they bring no pairs. Blocks are wide, and kept as the XOR of their bits'
+random numbers. Sketches of two to four bits a shingle then screen the pairs,
+and the sets themselves decide.
 
 The result is the components of all links. A bucket of equal blocks first links
 its members to its least one; pairs of other members are compared only where a
@@ -32,8 +33,10 @@ from sourcelight.llm.components import components
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAND = 1.5  #: ratio of the sizes in a band
 SLACK = 0.1  #: share of blocks a document may leave out
-MARK = 16  #: 64-bit words of the screening sketch
+MARK, MORE = 16, 64  #: 64-bit words of the screening sketches that travel with the keys
 HOT_KEYS, HOT_SALTS = 1024, 32
+ORDERS = 1  #: orders in which buckets pick their center, so that members of a large group meet several of it
+STEP = 1000  #: sets that a task sketches at a time
 NO_ID = -(1 << 63)
 
 
@@ -85,56 +88,87 @@ def bands(largest: int) -> list[int]:
     return starts
 
 
-def block_plan(start_of_next: int, like: Likeness) -> tuple[int, int]:
-    """Blocks and blocks to leave out for the band that ends before ``start_of_next``."""
+def block_plan(start_of_next: int, n: int, like: Likeness) -> tuple[int, int]:
+    """Blocks of the band that ends before ``start_of_next``, and how many of them a set of ``n`` shingles may leave out.
+
+    Similar sets of n and m shingles agree on at least blocks - d (n + m) of
+    them, d = (den - num) / (den + num). Each leaves out (blocks - 1) / 2 - d
+    times its own size, so one common block is left whatever both leave out.
+    """
     apart = like.most_apart(2 * (start_of_next - 1))
-    spare = 0 if apart == 0 else max(1, round(SLACK * (apart + 1)))
-    return apart + 1 + 2 * spare, spare
+    blocks = apart + 1 + (0 if apart == 0 else 2 * max(1, round(SLACK * (apart + 1))))
+    near, far = like.den + like.num, like.den - like.num
+    return blocks, max(0, ((blocks - 1) * near - 2 * far * n) // (2 * near))
+
 
+def block_keys(hashes: np.ndarray, like: Likeness) -> tuple[np.ndarray, list[int]]:
+    """Join keys of one set, and how many a document may leave out of those with an even and an odd last bit.
 
-def block_keys(hashes: np.ndarray, like: Likeness) -> np.ndarray:
-    """Join keys of one set: the blocks of its own size band, and of the next if a similar larger set may lie there."""
-    n = len(hashes)
-    if not n:
-        return np.zeros(0, dtype=np.int64)
+    Keys are the blocks of its own size band, and of the next if a similar
+    larger set may lie there; the last bit tells the bands apart.
+    """
+    n, keys, spares = len(hashes), [np.zeros(0, dtype=np.uint64)], [0, 0]
     starts = bands(n)
     own = int(np.searchsorted(starts, n, side="right")) - 1
     where, token = mixed(hashes), mixed(hashes + np.uint64(0x9E3779B97F4A7C15))
-    keys = []
-    for band in (own, own + 1):
+    for band in (own, own + 1) if n else ():
         if band > own and like.den * n < like.num * starts[band]:
             break
         end = starts[band + 1] if band + 1 < len(starts) else max(starts[band] + 1, int(starts[band] * BAND))
-        blocks, spare = block_plan(end, like)
+        blocks, spares[band % 2] = block_plan(end, n, like)
         at = (where % np.uint64(blocks)).astype(np.int64)
         parity = np.zeros(blocks, dtype=np.uint64)
         np.bitwise_xor.at(parity, at, token)
-        kept = np.argsort(np.bincount(at, minlength=blocks), kind="stable")[spare:].astype(np.uint64)
-        keys.append(mixed(parity[kept] ^ mixed(kept * np.uint64(1 << 20) + np.uint64(band + 1))))
-    return np.concatenate(keys).view(np.int64)
+        place = np.arange(blocks, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(band + 1)
+        keys.append(mixed(parity ^ mixed(place)) & ~np.uint64(1) | np.uint64(band % 2))
+    return np.concatenate(keys).view(np.int64), spares
+
+
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity sketch of 64 * 2**k bits, at least two bits a shingle and MARK words.
+
+    The XOR of both halves is the sketch of half the length, so sketches of two
+    lengths compare after folding.
+    """
+    words = MARK
+    while 64 * words < 2 * len(hashes):
+        words *= 2
+    at = (mixed(hashes) & np.uint64(64 * words - 1)).astype(np.int64)
+    bits = np.bincount(at, minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
 
+def folded(sketch: np.ndarray, words: int = MARK) -> np.ndarray:
+    """The sketch of so many words, a power of two."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
-def mark(hashes: np.ndarray) -> np.ndarray:
-    """Parity sketch of 64 * MARK bits."""
-    bits = np.bincount((mixed(hashes) >> np.uint64(54)).astype(np.int64) % (64 * MARK), minlength=64 * MARK) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+def more_of(sketch: np.ndarray) -> np.ndarray | None:
+    """For large sets a sketch of 32 or 64 words, one bit or more a shingle; 16 words tell smaller ones apart."""
+    words = min(MORE, len(sketch) // 2)
+    return folded(sketch, words) if words > MARK else None
 
 
 def _sketched(like: Likeness):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, STEP) for b in batches for i in range(0, b.num_rows, STEP)):
             sets = batch.column(1)
             values = sets.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             ends = np.cumsum(np.concatenate([[0], sets.value_lengths().to_numpy(zero_copy_only=False)])).astype(np.int64)
             parts = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            wide = [parity_sketch(p) for p in parts]
+            found = [block_keys(p, like) for p in parts]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(np.diff(ends), pa.int64()),
-                    pa.array([block_keys(p, like) for p in parts], pa.list_(pa.int64())),
-                    pa.array([mark(p) for p in parts], pa.list_(pa.int64())),
+                    pa.array([keys for keys, _ in found], pa.list_(pa.int64())),
+                    pa.array([spares for _, spares in found], pa.list_(pa.int64())),
+                    pa.array([folded(w) for w in wide], pa.list_(pa.int64())),
+                    pa.array([more_of(w) for w in wide], pa.list_(pa.int64())),
+                    pa.array(wide, pa.list_(pa.int64())),
                 ],
-                names=["doc", "n", "keys", "mark"],
+                names=["doc", "n", "keys", "spares", "mark", "more", "wide"],
             )
 
     return run
@@ -147,38 +181,77 @@ def _hot_keys(sketches: DataFrame) -> DataFrame:
     return often.limit(HOT_KEYS).select(F.col("key").alias("_hot"))
 
 
-def _stars(sketches: DataFrame) -> DataFrame:
-    """(key, center, doc) for every document but the least of each bucket; hot buckets in two levels."""
+def _kept_keys(sketches: DataFrame) -> DataFrame:
+    """(key, doc, hot): keys that other documents share, without each document's most shared ones, as many as it may leave out.
+
+    Which ones are left out never changes the result, so the counts of hot keys
+    may be those of their salted part; their rows stay in any case.
+    """
     hot = F.broadcast(saved(_hot_keys(sketches), "parity-hot"))
     rows = sketches.select("doc", F.explode("keys").alias("key")).join(hot, F.col("key") == F.col("_hot"), "left")
     rows = rows.select(
-        "doc", "key", F.when(F.col("_hot").isNotNull(), salt(HOT_SALTS, "doc")).otherwise(0).alias("s"),
-        F.col("_hot").isNotNull().alias("hot"),
+        "doc", "key", F.when(F.col("_hot").isNotNull(), salt(HOT_SALTS, "doc") + 1).otherwise(0).alias("part")
     )
-    line = Window.partitionBy("key", "s").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = rows.withColumn("center", F.min("doc").over(line))
-    level = near.where("doc != center").select("key", "center", "doc")
-    tops = near.where("hot").groupBy("key", "s").agg(F.min("doc").alias("doc"))
-    top = Window.partitionBy("key").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tops = tops.withColumn("center", F.min("doc").over(top)).where("doc != center").select("key", "center", "doc")
-    return level.unionByName(tops)
+    held = F.count(F.lit(1)).over(Window.partitionBy("key", "part"))
+    shared = rows.withColumn("c", F.when(F.col("part") > 0, held * HOT_SALTS).otherwise(held)).where("c > 1")
+    shared = saved(shared.select("key", "doc", "c", (F.col("part") > 0).alias("hot")), "parity-shared")
+    spares = sketches.select("doc", "spares").hint("merge")
+    bit = F.col("key").bitwiseAND(F.lit(1))
+    most = Window.partitionBy("doc", bit).orderBy(F.desc("c"), "key")
+    ranked = shared.join(spares, "doc").withColumn("_rank", F.row_number().over(most))
+    return ranked.where(F.col("_rank") > F.get("spares", bit.cast("int"))).select("key", "doc", "hot")
 
 
-def _screened(pairs: DataFrame, sketches: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs (a, b) whose sizes and 1,024-bit sketches allow the similarity."""
-    facts = sketches.select("doc", "n", "mark")
-    a, b = facts.toDF("a", "na", "ma"), facts.toDF("b", "nb", "mb")
-    return pairs.join(a, "a").join(b, "b").where(_may_be_similar(like)).select("a", "b")
+def _stars(kept: DataFrame) -> DataFrame:
+    """(key, center, doc) for every document but the center of each bucket; hot buckets in two levels.
 
+    The center is the first document in one of many hash orders, which the key
+    chooses.
+    """
+    first = F.xxhash64("doc", F.pmod(F.shiftright("key", 1), F.lit(ORDERS)))
+    rows = kept.withColumn("s", F.when(F.col("hot"), salt(HOT_SALTS, "doc")).otherwise(0)).withColumn("h", first)
+    past = (Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("key", "s").orderBy("h", "doc").rowsBetween(*past)
+    near = rows.withColumn("center", F.first("doc").over(line))
+    level = near.where("doc != center").select("key", "center", "doc")
+    tops = rows.where("hot").groupBy("key", "s").agg(F.min(F.struct("h", "doc")).alias("t")).select("key", "t.*")
+    top = Window.partitionBy("key").orderBy("h", "doc").rowsBetween(*past)
+    tops = tops.withColumn("center", F.first("doc").over(top)).where("doc != center").select("key", "center", "doc")
+    return level.unionByName(tops)
 
-def _may_be_similar(like: Likeness) -> Column:
-    apart = sum(
-        (F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(1, MARK)),
-        F.bit_count(F.col("ma")[0].bitwiseXOR(F.col("mb")[0])),
-    )
+
+def _bound(like: Likeness) -> Column:
+    """Largest symmetric difference that sets of sizes ``na`` and ``nb`` may have; negative if the sizes alone forbid a link."""
     n, m = F.least("na", "nb"), F.greatest("na", "nb")
     bound = F.floor((like.den - like.num) * (n + m) / (like.den + like.num))
-    return (like.den * n >= like.num * m) & (apart <= bound)
+    return F.when(like.den * n >= like.num * m, bound).otherwise(-1)
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Hamming distance of two sketches of MARK words."""
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, MARK)), F.bit_count(a[0].bitwiseXOR(b[0])))
+
+
+def _halved(sketch: Column, to: Column) -> Column:
+    """The sketch folded once if it is longer than ``to`` words; similar sets differ by one doubling at most."""
+    half = (F.size(sketch) / 2).cast("int")
+    fold = F.transform(F.slice(sketch, 1, half), lambda x, i: x.bitwiseXOR(F.get(sketch, i + half)))
+    return F.when(F.size(sketch) > to, fold).otherwise(sketch)
+
+
+def _apart_of_any(a: Column, b: Column) -> Column:
+    """Hamming distance of two sketches whose lengths are equal or differ by one doubling."""
+    bits = F.zip_with(_halved(a, F.size(b)), _halved(b, F.size(a)), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, c: acc + c)
+
+
+def _screened(pairs: DataFrame, sketches: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs (a, b) whose sizes and sketches allow the similarity; the short sketches first."""
+    facts, wide = sketches.select("doc", "n", "mark"), sketches.select("doc", "n", "wide")
+    some = pairs.join(facts.toDF("a", "na", "ma"), "a").join(facts.toDF("b", "nb", "mb"), "b")
+    some = some.where((_bound(like) >= 0) & (_apart(F.col("ma"), F.col("mb")) <= _bound(like))).select("a", "b")
+    both = some.join(wide.toDF("a", "na", "wa"), "a").join(wide.toDF("b", "nb", "wb"), "b")
+    return both.where(_apart_of_any(F.col("wa"), F.col("wb")) <= _bound(like)).select("a", "b")
 
 
 def _sets_of(texts: DataFrame, ids: DataFrame, like: Likeness) -> DataFrame:
@@ -215,13 +288,18 @@ def _across(stars: DataFrame, labels: DataFrame, sketches: DataFrame, like: Like
         .unionByName(rows.select("key", F.col("center").alias("doc"), F.col("cc").alias("c")))
         .distinct()
     )
-    full = saved(members.join(sketches.select("doc", "n", "mark"), "doc"), "parity-open")
-    a = full.select("key", F.col("doc").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("mark").alias("ma"))
-    b = full.select(
-        F.col("key").alias("_key"), F.col("doc").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("mark").alias("mb")
+    full = saved(members.join(sketches.select("doc", "n", "mark", "more"), "doc"), "parity-open")
+    side = lambda x: full.select(
+        F.col("key").alias(f"k{x}"), F.col("doc").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in ("n", "mark", "c")],
+        F.col("more").alias(f"w{x}"),
     )
-    met = a.join(
-        b, (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_be_similar(like)
+    bound = _bound(like)
+    large = F.col("wa").isNotNull() & F.col("wb").isNotNull()
+    met = side("a").join(
+        side("b"),
+        (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+        & (_apart(F.col("ma"), F.col("mb")) <= bound)
+        & F.when(large, _apart_of_any(F.col("wa"), F.col("wb")) <= bound).otherwise(True),
     )
     return met.select("a", "b").distinct()
 
@@ -238,32 +316,38 @@ def similar_groups(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), whole_text().alias("text"))
     digest = F.sha2(F.col("text").cast("binary"), 256)
     held = saved(texts.groupBy("doc").agg(F.min(digest).alias("digest")), "parity-digests")
-    firsts = held.groupBy("digest").agg(F.min("doc").alias("first"))
-    members = saved(held.join(firsts, "digest").select("doc", "digest", "first"), "parity-members")
+    firsts = held.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    firsts = saved(firsts.select("digest", "first"), "parity-firsts").hint("merge")
+    members = saved(
+        held.join(firsts, "digest", "left").select("doc", "digest", F.coalesce("first", "doc").alias("first")),
+        "parity-members",
+    )
     copies = members.where("doc != first").select("doc")
-    single = texts.join(copies.hint("merge"), "doc", "left_anti")
     several = saved(
         texts.select("doc", digest.alias("digest")).distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1"),
         "parity-several",
     )
     if not several.isEmpty():
         kept = members.select(F.col("doc").alias("_doc"), F.col("digest").alias("_digest"))
-        single = single.join(kept, (F.col("doc") == F.col("_doc")) & (digest == F.col("_digest")), "left_semi")
+        texts = texts.join(kept, (F.col("doc") == F.col("_doc")) & (digest == F.col("_digest")), "left_semi")
+    single = texts.join(copies.hint("merge"), "doc", "left_anti")
     grams = single.select("doc", words(F.col("text")).alias("_w")).select(
         "doc", shingle_set(like.words).alias("grams")
     )
-    sketches = saved(
-        grams.mapInArrow(_sketched(like), "doc bigint, n bigint, keys array<bigint>, mark array<bigint>"), "parity-sketches"
-    )
-    stars = saved(_stars(sketches), "parity-stars")
+    shape = "doc bigint, n bigint, " + ", ".join(f"{c} array<bigint>" for c in ("keys", "spares", "mark", "more", "wide"))
+    sketches = saved(grams.mapInArrow(_sketched(like), shape), "parity-sketches")
+    stars = saved(_stars(saved(_kept_keys(sketches), "parity-kept")), "parity-stars")
     links = saved(
-        _verified(stars.select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct(), sketches, single, like),
+        _verified(
+            stars.select(F.least("center", "doc").alias("a"), F.greatest("center", "doc").alias("b")).distinct(),
+            sketches, texts, like,
+        ),
         "parity-links",
     )
     labels = saved(components(links.toDF("u", "v")), "parity-labels")
     more = saved(_across(stars, labels, sketches, like), "parity-across")
     if not more.isEmpty():
-        links = links.unionByName(saved(_verified(more, sketches, single, like), "parity-more"))
+        links = links.unionByName(saved(_verified(more, sketches, texts, like), "parity-more"))
         labels = saved(components(links.toDF("u", "v")), "parity-labels")
     sizes = sketches.select(F.col("doc").alias("first"), "n").distinct()
     named = labels.select(F.col("node").alias("first"), "component")
