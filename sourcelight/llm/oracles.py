@@ -34,6 +34,24 @@ SELECT doc_id, source, n_tokens, epoch, block,
        row_number() OVER (PARTITION BY block ORDER BY md5(o || '|' || epoch), doc_id) - 1 AS place FROM y
 """
 
+OP3 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 4
+    THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 85 * (nx.n + ny.n - i)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT a, y FROM r JOIN e ON b = x)
+SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = a GROUP BY a
+"""
+
 OP6 = """
 WITH p AS (
   SELECT page_id,
@@ -89,4 +107,4 @@ FROM (SELECT DISTINCT doc_id FROM d) d LEFT JOIN p USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op6_url_filter": OP6, "op7_exact_dedup": OP7, "op8_pii": OP8}
+    return {"op1_mixing": OP1, "op3_parity_join": OP3, "op6_url_filter": OP6, "op7_exact_dedup": OP7, "op8_pii": OP8}

@@ -35,7 +35,7 @@ BAND = 1.5  #: ratio of the sizes in a band
 SLACK = 0.1  #: share of blocks a document may leave out
 MARK, MORE = 16, 64  #: 64-bit words of the screening sketches that travel with the keys
 HOT_KEYS, HOT_SALTS = 1024, 32
-ORDERS = 1  #: orders in which buckets pick their center, so that members of a large group meet several of it
+ORDERS = 32  #: orders in which buckets pick their center, so that members of a large group meet several of it
 STEP = 1000  #: sets that a task sketches at a time
 NO_ID = -(1 << 63)
 
