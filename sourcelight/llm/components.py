@@ -24,8 +24,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates two star contractions: larger neighbours are linked to a node's
     least neighbour, then smaller ones to the least of them, until every
     component is a star. Rounds grow with the logarithm of the nodes. Minima
-    combine map-side and the joins are plain equality joins, so a node with any
-    number of neighbours is split. Each round is written to the shared folder.
+    combine map-side; the join that follows keeps the edges of a node together,
+    a pair of numbers each. Each round is written to the shared folder.
     """
     now = saved(
         edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sourcelight.llm import (
-    components, exact_dedup, html_text, mixing, packing, parity_join, pii, quality, queries, simhash, spans, url_rules,
+    components, exact_dedup, html_text, mixing, oracles, packing, parity_join, pii, quality, queries, simhash, spans, url_rules,
 )
 
 FOLDER = "/root/testdata/sf0.001"
@@ -579,6 +579,14 @@ def test_spans_brute_force(spark, given):
         assert (r["n_sentences"], r["n_removed"]) == (len(cuts), len(dead))
 
 
+def test_registered_queries():
+    """SQL twins where SQL can say it; the others are tested against brute force here."""
+    names = set(queries.REGISTRY)
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    told = {re.match(r"op\d+", n)[0] for n in oracles.oracle_sql()}
+    assert set(oracles.oracle_sql()) <= names and told == {"op1", "op3", "op6", "op7", "op8"}
+
+
 # --- pipeline -------------------------------------------------------------------------
 
 
