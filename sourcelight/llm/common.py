@@ -18,6 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="sourcelight-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
