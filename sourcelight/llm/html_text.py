@@ -47,13 +47,19 @@ NEVER = frozenset(
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline-share|comments?|consent|cookies?|disclaimer|disqus|footer|"
-    r"foot|header|masthead|menu|modal|nav\w*|newsletter|notices?|notification|pagination|pager|popup|promo\w*|"
-    r"related|recommended|respond|replies|share|sharing|shoutbox|sidebar|signup|skip-link|social|sponsor\w*|subscribe|toolbar|"
-    r"widgets?|reader-comments|login|search)(?:$|[\s_-])",
-    re.I,
+def _labels(words: str) -> re.Pattern[str]:
+    """Words of class and id attributes, between white space, hyphens and underscores."""
+    return re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
+
+
+NOISE = _labels(
+    r"ads?|ad(?:box|unit|slot|banner)|advert\w*|adsense|banner\w*|breadcrumbs?|comments?(?:list|thread|area|box|form)?|consent|"
+    r"cookies?\w*|disclaimer|disqus|footer|foot|menu|modal|nav\w*|newsletter\w*|notices?|notification|pagination|pager|popup|"
+    r"promo\w*|related|recommended|respond|replies|share|sharing|shoutbox|sidebar\w*|signup|skip-link|social|sponsor\w*|"
+    r"subscribe|toolbar|widgets?|login|search"
 )
+#: Only outside of an article, where such a block holds its title.
+PAGE_HEAD = _labels(r"header|masthead")
 
 
 @dataclass
@@ -135,7 +141,9 @@ class Page:
         labels = f"{given.get('class', '')} {given.get('id', '')}"
         noise = (
             parent.noise or tag in NEVER or role in ROLES or "hidden" in re.split(r"[\s=]", attrs.lower())
-            or tag not in ("html", "body", "article", "main") and bool(NOISE.search(labels))
+            or tag not in ("html", "body", "article", "main") and bool(labels.strip()) and (
+                bool(NOISE.search(labels)) or not parent.main and bool(PAGE_HEAD.search(labels))
+            )
             or tag == "article" and bool(re.search(r"comment|reply", labels, re.I))
             or tag == "header" and not parent.main
         )

@@ -257,13 +257,15 @@ def test_main_text_markup(spark):
         (6, "http://a.b/6", page("x", "<p>x</p><section id='comments'><p>reader</p></section>", "<div class=ad>ad</div>")),
         (7, "no scheme", "<div>just <i>text</i></div><div>more &lt;b&gt;</div>"),
         (8, "http://a.b/8", "<ul><li>one<li>two</ul><table><tr><td>a<td>b</table> tail &am"),
+        (10, "http://a.b/10", page("x", "<div class='entry-header'><h1>Title</h1></div><p>text</p><ol class=commentlist><li>no</ol>",
+                                   "<div id=site-header>no</div>")),
         (9, "http://a.b/9", page("x", "<a title='x > y'>link</a> 2 < 3")),
     ]
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.main_texts(
         spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     want = {
         1: "T &amp; t onetwo three four five six", 2: "", 3: "", 4: "keep", 5: "ab", 6: "x",
-        7: "just text more <b>", 8: "one two a b tail &am", 9: "link 2 < 3",
+        7: "just text more <b>", 8: "one two a b tail &am", 9: "link 2 < 3", 10: "Title text",
     }
     assert got == {k: (v, len(v)) for k, v in want.items()}
     assert html_text.main_texts(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
