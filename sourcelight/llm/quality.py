@@ -136,17 +136,27 @@ def train(
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
     told = rows.select("text", "label", "place").mapInArrow(
         _sampled_counts, "terms array<int>, counts array<float>, label int, place bigint"
-    ).toArrow().to_pylist()
-    told.sort(key=lambda r: (r["place"], r["label"], r["terms"], r["counts"]))
-    told = told[: 4 * per_label]  # a doc_id that many rows share
-    counts = np.zeros((len(told), TERMS + EXTRA), dtype=np.float32)
-    for i, r in enumerate(told):
-        counts[i, r["terms"]] = r["counts"]
-    idf = (np.log((len(told) + 1) / ((counts > 0).sum(axis=0) + 1)) + 0.1).astype(np.float32)
-    weighted = unit(shares(counts) * idf)
+    ).toArrow().combine_chunks()
+    sizes = told["terms"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    terms, values = (told[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("terms", "counts"))
+    found, place = told["label"].to_numpy(), told["place"].to_numpy()
+    weight = np.array([values[x:y].sum() for x, y in zip(ends[:-1], ends[1:], strict=True)])
+    # a doc_id that many rows share may bring more rows than were sampled
+    order = np.lexsort((weight, sizes, found, place))[: 4 * per_label]
+    counts = np.zeros((len(order), TERMS + EXTRA), dtype=np.float32)
+    for i, row in enumerate(order):
+        counts[i, terms[ends[row] : ends[row + 1]]] = values[ends[row] : ends[row + 1]]
+    known_labels = found[order].astype(np.float32)
+    idf = (np.log((len(order) + 1) / ((counts > 0).sum(axis=0) + 1)) + 0.1).astype(np.float32)
+    weighted = counts  # in place: the driver holds one such matrix
+    weighted /= np.maximum(weighted.sum(axis=1, keepdims=True), 1)
+    np.sqrt(weighted, out=weighted)
+    weighted *= idf
+    weighted /= np.maximum(np.sqrt(np.einsum("ij,ij->i", weighted, weighted))[:, None], 1e-9)
     directions = np.linalg.eigh(weighted.T @ weighted)[1][:, ::-1][:, :dimensions].astype(np.float32)
     vectors = unit(weighted @ directions).astype(np.float32)
-    return Model(idf, directions, vectors, np.array([r["label"] for r in told], dtype=np.float32), neighbours, sharpness)
+    return Model(idf, directions, vectors, known_labels, neighbours, sharpness)
 
 
 def scorer(docs: DataFrame, model: Model):
