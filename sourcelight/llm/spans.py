@@ -1,12 +1,17 @@
-"""Removal of repeated passages by sliding spans of sentences.
-
-Texts are cut into sentences (long ones into pieces of at most 25 words). A
-span is a run of at least three consecutive sentences with at least 15 words:
-the shortest one that starts at a sentence and the shortest one that ends at
-it, so a repeated passage is covered up to both of its ends. Spans are hashed
-and joined globally, and sentences covered by any span that is not the first of
+"""Removal of repeated passages by sliding spans of short pieces.
+
+Texts are cut where a sentence ends and, within a sentence, after the words
+whose hash (with the word before) is the least of some eight neighbours, so
+pieces have at most eight words, about four and a half on average. Where a cut falls depends on the
+words around it alone: in a passage that two texts share, cuts agree from eight
+words after its start, or from the first sentence's start, wherever it stands. A
+span is a run of at least three consecutive pieces with at least 15 words: the
+shortest one that starts at a piece and the shortest one that ends at it, so a
+repeated passage is covered up to the outermost common cuts. Spans are hashed
+and joined globally, and pieces covered by any span that is not the first of
 its hash are removed. The first is the one with the smallest doc_id, then
-position.
+position. In scripts without spaces between words, two characters count as one
+word.
 """
 
 from __future__ import annotations
@@ -22,71 +27,130 @@ from pyspark.sql import functions as F
 
 from sourcelight.llm.common import saved, whole_text
 
-SENTENCES, WORDS, LONGEST = 3, 15, 25
-WORD = re.compile(r"\S+\s*")
+SENTENCES, WORDS, WINDOW = 3, 15, 8
+#: Thai to Burmese, Khmer, CJK with its signs, kana and wide forms: written without spaces, each character is cut off.
+_SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uffdc\U00020000-\U0003134f"
+SINGLE = re.compile(f"[{_SINGLE}]")
+WORD = re.compile(rf"(?:[{_SINGLE}]|[^\s{_SINGLE}]+)\s*")
 #: What ends a sentence, with the white space after it; a line's end also does.
-END = re.compile(r"[.!?]+\s+|\n\s*")
+END = re.compile(r"[.!?]+\s+|[\u3002\uff01\uff1f\uff61]+\s*|\n\s*")
+_BASE = 0x9E3779B97F4A7C15
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+class _Hashes(dict):
+    """Hash of each word by its spelling in the text; white space and case do not count."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word.rstrip().lower().encode("utf-8", "replace"))
+        return value
+
+
+_HASHES = _Hashes()
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2 ** 64."""
+    if len(_POWERS[0]) < n:
+        size = 1 << n.bit_length()
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            line = np.full(size, base, np.uint64)
+            line[0] = 1
+            _POWERS[i] = np.cumprod(line, dtype=np.uint64)
+    return _POWERS
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(32))) * _MIX
+    return values ^ (values >> np.uint64(32))
+
+
+def _read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: where it ends with the white space after it, its hash, and whether a piece ends there."""
+    words = WORD.findall(text)
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(lengths) + (len(text) - int(lengths.sum()))
+    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    stops = np.array([m.end() for m in END.finditer(text)], np.int64)
+    sentence = np.searchsorted(stops, ends)
+    same = sentence[1:] == sentence[:-1]
+    value = hashes.copy()
+    value[1:] += _mixed(hashes[:-1]) * same
+    value = _mixed(value)
+    cut = np.zeros(n, bool)
+    if n >= WINDOW:
+        # the least of each window within a sentence; a word is cut after if it is the least of any window around it
+        least = value
+        for s in (1, 2, 4):
+            least = np.minimum(least[s:], least[:-s])
+        most = np.zeros(n + WINDOW - 1, np.uint64)
+        most[WINDOW - 1 : n] = least * (sentence[WINDOW - 1 :] == sentence[: 1 - WINDOW])
+        for s in (1, 2, 4):
+            most = np.maximum(most[s:], most[:-s])
+        cut = most == value
+    cut[:-1] |= ~same
+    cut[-1] = True
+    return ends, hashes, cut
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Start and end of each sentence; together they cover the text. A sentence of more than 25 words is cut every 25."""
-    cuts, start = [], 0
-    for end in END.finditer(text):
-        cuts.append((start, end.end()))
-        start = end.end()
-    if start < len(text):
-        cuts.append((start, len(text)))
-    out: list[tuple[int, int]] = []
-    for a, b in cuts:
-        words = [m.end() for m in WORD.finditer(text, a, b)]
-        if len(words) <= LONGEST:
-            out.append((a, b))
-            continue
-        ends = words[LONGEST - 1 : -1 : LONGEST]
-        if ends[-1] != b:
-            ends.append(b)
-        out.extend(zip([a, *ends[:-1]], ends, strict=True))
-    return out
-
-
-def spans(text: str, cuts: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(first sentence, last sentence, hash of the words) of all spans. White space and case do not count."""
-    n = len(cuts)
+    """Start and end of each piece; together they cover the text."""
+    ends, _, cut = _read(text)
+    stops = ends[cut].tolist() if len(ends) else [len(text)] if text else []
+    return list(zip([0, *stops[:-1]], stops, strict=True)) if stops else []
+
+
+def _spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """All spans in text order: first piece << 32 | last piece, and the hash of the words."""
+    _, hashes, cut = _read(text)
+    at = np.concatenate([[0], np.flatnonzero(cut) + 1])  # words before each piece
+    n = len(at) - 1
     if n < SENTENCES:
-        return []
-    parts = [text[a:b].lower().split() for a, b in cuts]
-    counts = np.array([len(p) for p in parts])
-    total = np.concatenate([[0], np.cumsum(counts)])
-    pairs: set[tuple[int, int]] = set()
-    first = np.searchsorted(total, total[:n] + WORDS) - 1  # last sentence of the shortest span from each start
-    last = np.searchsorted(total, total[1:] - WORDS, side="right") - 1  # first sentence of the shortest span to each end
-    for i in range(n):
-        j = max(int(first[i]), i + SENTENCES - 1)
-        if j < n:
-            pairs.add((i, j))
-        k = min(int(last[i]), i - SENTENCES + 1)
-        if k >= 0 and total[i + 1] >= WORDS:
-            pairs.add((k, i))
-    joined = [" ".join(p) for p in parts]
-    return [
-        (i, j, xxhash.xxh3_64_intdigest(" ".join(x for x in joined[i : j + 1] if x)) - (1 << 63)) for i, j in sorted(pairs)
-    ]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if SINGLE.search(text):
+        halves = np.cumsum([0, *(1 if SINGLE.match(w) else 2 for w in WORD.findall(text))])[at]
+    else:
+        halves = at * 2
+    piece = np.arange(n)
+    # last piece of the shortest span from each start, first piece of the shortest span to each end
+    last = np.maximum(np.searchsorted(halves, halves[:n] + 2 * WORDS) - 1, piece + SENTENCES - 1)
+    first = np.minimum(np.searchsorted(halves, halves[1:] - 2 * WORDS, side="right") - 1, piece - SENTENCES + 1)
+    ahead = last < n
+    back = (first >= 0) & (last[first] != piece)
+    pairs = np.sort(np.concatenate([(piece << 32 | last)[ahead], (first << 32 | piece)[back]]))
+    i, j = pairs >> 32, pairs & 0xFFFFFFFF
+    power, inverse = _powers(len(hashes))
+    upto = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * power[: len(hashes)], out=upto[1:])
+    return pairs, _mixed((upto[at[j + 1]] - upto[at[i]]) * inverse[at[i]]).view(np.int64)
+
+
+def spans(text: str, cuts: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
+    """(first piece, last piece, hash of the words) of all spans. White space and case do not count. ``cuts`` follow from the text."""
+    pairs, values = _spans(text)
+    return list(zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), values.tolist(), strict=True))
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans with their first and last sentence in one number; ``again`` if the document held the same words before."""
+    """Spans with their first and last piece in one number; ``again`` if the document held the same words before."""
     for batch in batches:
-        docs: list[int | None] = []
-        rows: list[tuple[int, int, bool]] = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            t = text.as_py()
-            seen: set[int] = set()
-            for first, last, value in spans(t, sentences(t)):
-                docs.append(doc)
-                rows.append((value, first << 32 | last, value in seen))
-                seen.add(value)
-        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *columns], names=["doc", "hash", "span", "again"])
+        found = [_spans(text.as_py()) for text in batch.column(1)]
+        again = [np.ones(len(v), bool) for _, v in found]
+        for (_, values), flags in zip(found, again, strict=True):
+            flags[np.unique(values, return_index=True)[1]] = False
+        whose = np.repeat(np.arange(len(found)), [len(v) for _, v in found])
+        docs = batch.column(0).take(pa.array(whose, pa.int64()))
+        pairs, values = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
+        flags = np.concatenate([np.zeros(0, bool), *again])
+        yield pa.RecordBatch.from_arrays(
+            [docs, pa.array(values), pa.array(pairs), pa.array(flags)], names=["doc", "hash", "span", "again"]
+        )
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,12 +189,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
-    """Texts without sentences that an earlier place already holds: doc_id, text, n_sentences, n_removed, removed_chars.
+    """Texts without pieces that an earlier place already holds: doc_id, text, n_sentences, n_removed (both of pieces), removed_chars.
 
     Null text counts as empty; rows equal in doc_id and text are cut alike, as one document.
     A null doc_id is left as it is (it comes before all others). Rows that share
     a doc_id but not the text are cut by each other's repeats. Texts of fewer
-    than three sentences or 15 words have no span. Only doc_id and text are read.
+    than three pieces or 15 words have no span. Only doc_id and text are read.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     later = repeated_spans(rows)

@@ -581,6 +581,28 @@ def test_spans_brute_force(spark, given):
         assert (r["n_sentences"], r["n_removed"]) == (len(cuts), len(dead))
 
 
+def test_spans_within_long_sentences(spark):
+    """A passage goes wherever it starts in a sentence without ends, also in scripts without spaces; all but words at its ends."""
+    rng = random.Random(10)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = own(50)
+    rows = [(0, f"{own(40)} {passage} {own(40)}", "en", "a")]
+    rows += [(i, f"{own(i)} {passage} {own(30)}", "en", "a") for i in range(1, 40)]
+    signs = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(100))
+    own_signs = lambda n: "".join(chr(0x6E00 + rng.randrange(5000)) for _ in range(n))
+    rows += [(100 + i, f"{own_signs(10 + i)}\u3002{own_signs(i)}{signs}\u3002{own_signs(30)}", "zh", "a") for i in range(10)]
+    got = {r["doc_id"]: r for r in spans.drop_repeated_passages(docs_of(spark, rows)).collect()}
+    words = set(passage.split())
+    for i, text, *_ in rows:
+        if i in (0, 100):
+            assert got[i]["text"] == text
+        elif i < 100:
+            assert len(words & set(got[i]["text"].split())) <= 26, i
+            assert set(text.split()) - words <= set(got[i]["text"].split())
+        else:
+            assert sum(c in signs for c in got[i]["text"]) <= 30, i
+
+
 def test_registered_queries():
     """SQL twins where SQL can say it; the others are tested against brute force here."""
     names = set(queries.REGISTRY)
