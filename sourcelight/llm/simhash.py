@@ -82,51 +82,69 @@ def _block(start: int, end: int) -> Column:
     return taken
 
 
-def block_tables(radius: int, kept: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
-    """Bit ranges of radius + kept blocks, and the block sets of all tables: two fingerprints within the radius agree on one."""
-    n = radius + kept
+def block_tables(radius: int, kept: int, flips: int = 0) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """Bit ranges of the blocks, and the block sets of all tables.
+
+    Of radius // (flips + 1) + kept blocks, two fingerprints within the radius
+    differ in more than ``flips`` bits on radius // (flips + 1) at most, so one
+    table has none of those.
+    """
+    n = radius // (flips + 1) + kept
     ranges = [(BITS * i // n, BITS * (i + 1) // n) for i in range(n)]
     return ranges, list(combinations(range(n), kept))
 
 
-def near_counts(prints: DataFrame, wanted: Column, radius: int = 3, kept: int = 1) -> DataFrame:
+def near_counts(prints: DataFrame, wanted: Column, radius: int = 3, kept: int = 1, flips: int = 0) -> DataFrame:
     """Rows of ``prints`` that meet ``wanted`` with the number of other rows within ``radius``: doc_id, n_near.
 
     ``prints``: doc_id, f1, f2; read more than once. Every pair within the
-    radius agrees on ``kept`` of ``radius + kept`` blocks of bits, so it meets
-    in one of the permuted tables; it is counted in the first one in which it
-    meets. Equal fingerprints are one row with a count, on both sides, so a
-    group of copies of any size meets once.
+    radius differs in at most ``flips`` bits on each of ``kept`` blocks of bits,
+    so it meets in one of the permuted tables, where the wanted side stands with
+    all such changes of its blocks (of one block a table, if there are any); it
+    is counted in the first one in which it meets. Equal fingerprints are one
+    row with a count, on both sides, so a group of copies of any size meets once.
     """
-    ranges, tables = block_tables(radius, kept)
+    if flips and kept > 1:
+        raise ValueError("changed bits are sought in tables of one block")
+    ranges, tables = block_tables(radius, kept, flips)
     all_prints = prints.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("rows"))
     asked = prints.where(wanted).select("f1", "f2").distinct()
 
-    def keyed(df: DataFrame) -> DataFrame:
-        keys = [F.xxhash64(F.lit(t), *[_block(*ranges[b]) for b in table]) for t, table in enumerate(tables)]
-        return df.select("*", F.posexplode(F.array(*keys)).alias("t", "block_key"))
-
-    a = keyed(asked).toDF("a1", "a2", "ta", "ka")
-    b = keyed(all_prints).toDF("b1", "b2", "rows", "tb", "kb")
-
-    def agree(start: int, end: int) -> Column:
-        same = F.lit(True)
+    def key(t: int, *blocks: Column) -> Column:
+        return F.xxhash64(F.lit(t), *blocks)
+
+    def changed(t: int) -> Column:
+        """Keys of table t for all changes of up to ``flips`` bits."""
+        if not flips:
+            return F.array(key(t, *[_block(*ranges[b]) for b in tables[t]]))
+        start, end = ranges[t]
+        masks = [sum(1 << i for i in c) for n in range(flips + 1) for c in combinations(range(end - start), n)]
+        return F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: key(t, F.col(f"_block{t}").bitwiseXOR(m)))
+
+    held = F.array(*[key(t, *[_block(*ranges[b]) for b in table]) for t, table in enumerate(tables)])
+    b = all_prints.select("*", F.posexplode(held)).toDF("b1", "b2", "rows", "tb", "kb")
+    blocks = asked.select("f1", "f2", *[_block(*ranges[t]).alias(f"_block{t}") for t in range(len(tables)) if flips])
+    probes = F.flatten(F.array(*[changed(t) for t in range(len(tables))]))
+    a = blocks.select("f1", "f2", F.explode(probes)).toDF("a1", "a2", "ka")
+
+    def differ(start: int, end: int) -> Column:
+        bits = F.lit(0)
         for n, low in ((1, 0), (2, 64)):
             x, y = max(start, low) - low, min(end, low + 64) - low
             if x < y:
                 mask = ((1 << (y - x)) - 1) << x
                 mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-                same = same & (F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}")).bitwiseAND(F.lit(mask)) == 0)
-        return same
+                bits = bits + F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}")).bitwiseAND(F.lit(mask)))
+        return bits
 
     first = F.lit(len(tables))
     for t in reversed(range(len(tables))):
         met = F.lit(True)
         for block in tables[t]:
-            met = met & agree(*ranges[block])
+            met = met & (differ(*ranges[block]) <= flips)
         first = F.when(met, t).otherwise(first)
     close = distance(F.col("a1"), F.col("a2"), F.col("b1"), F.col("b2")) <= radius
-    met = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("ta") == F.col("tb")) & close & (first == F.col("ta")))
+    met = a.join(b, (F.col("ka") == F.col("kb")) & close & (first == F.col("tb")))
     counts = met.groupBy("a1", "a2").agg((F.sum("rows") - 1).alias("n_near"))
     ids = prints.where(wanted).select("doc_id", "f1", "f2")
     return ids.join(counts, (F.col("f1") == F.col("a1")) & (F.col("f2") == F.col("a2"))).select("doc_id", "n_near")

@@ -353,6 +353,33 @@ def test_hamming_search(spark, radius, kept):
     assert got == {p[0]: sum(far(p, o) <= radius for o in prints) - 1 for p in prints if p[0] % 5 == 0}
 
 
+def test_near_copies_are_counted(spark, tmp_path):
+    """Texts with one word replaced count as near, and the search by changed blocks misses none within its radius."""
+    rng = random.Random(17)
+    rows = []
+    for g in range(6):
+        base = [f"{rng.choice('abcdefgh') * rng.randint(1, 9)}{rng.randrange(900)}" for _ in range(250)]
+        for k in range(6):
+            text = list(base)
+            if k:
+                text[rng.randrange(250)] = f"other{k}"
+            rows.append((g * 50 + k, " ".join(text), "en", "a"))
+    docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["n_near"] for r in queries.op5_simhash(spark, str(tmp_path)).collect() if r["doc_id"] % 50 == 0}
+    assert got == {g * 50: 5 for g in range(6)}
+    f = [[rng.getrandbits(64), rng.getrandbits(64)]]
+    for i in range(150):
+        x = list(f[rng.randrange(len(f))])
+        for _ in range(rng.randint(0, 14)):
+            x[rng.randint(0, 1)] ^= 1 << rng.randint(0, 63)
+        f.append(x)
+    signed = [(i, a - (a >> 63 << 64), b - (b >> 63 << 64)) for i, (a, b) in enumerate(f)]
+    df = spark.createDataFrame(signed, "doc_id bigint, f1 bigint, f2 bigint")
+    got = {r["doc_id"]: r["n_near"] for r in simhash.near_counts(df, F.col("doc_id") % 5 == 0, radius=17, flips=2).collect()}
+    far = lambda x, y: (x[0] ^ y[0]).bit_count() + (x[1] ^ y[1]).bit_count()
+    assert got == {i: sum(far(x, y) <= 17 for y in f) - 1 for i, x in enumerate(f) if i % 5 == 0}
+
+
 # --- Jaccard join ---------------------------------------------------------------------
 
 
