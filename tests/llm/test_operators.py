@@ -190,6 +190,17 @@ def test_added_kinds(spark):
     assert got == {1: "iban:11:38", 2: "", 3: "ssn:16:27", 4: ""}
 
 
+def test_account_numbers_before_words(spark):
+    """A number ends where its country's length says, whatever follows."""
+    de, no = "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"
+    follow = [" BIC COBADEFF370", " EUR 20", " 20.50 EUR", ", thanks", ""]
+    rows = [(i, f"IBAN {n}{f}", "en", "a") for i, (n, f) in enumerate((n, f) for n in (de, de.replace(" ", ""), no) for f in follow)]
+    rows.append((90, "IBAN DE89 3704 0044 0532 0130 01 BIC COBADEFF370", "en", "a"))
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("iban")] for r in pii.pii_report(docs_of(spark, rows)).collect()}
+    ends = [5 + len(n) for n in (de, de.replace(" ", ""), no) for _ in follow]
+    assert got == {i: [f"iban:5:{e}"] for i, e in enumerate(ends)} | {90: []}
+
+
 # --- mixing ---------------------------------------------------------------------------
 
 
