@@ -106,5 +106,113 @@ FROM (SELECT DISTINCT doc_id FROM d) d LEFT JOIN p USING (doc_id)
 """
 
 
+def _rounds(n: int) -> str:
+    """Assignment (a) and moved centroids (c) of n rounds, then the last assignment."""
+    parts = []
+    for i in range(n + 1):
+        parts.append(f"""
+p{i} AS MATERIALIZED (SELECT vec_id, v, c, list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM k CROSS JOIN c{i}),
+a{i} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM p{i} GROUP BY vec_id)""")
+        if i < n:
+            parts.append(f"""
+s{i} AS (SELECT c, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM a{i}, range(1, 65) AS r(j) GROUP BY c, j),
+m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS w FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.w, o.w) AS w FROM c{i} o LEFT JOIN m{i} m USING (c))""")
+    return ",".join(parts)
+
+
+OP11 = f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v AS w FROM k
+  QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id)) <= 40),
+{_rounds(5)}
+SELECT vec_id, a5.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a5.c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON a5.c = c5.c
+"""
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+OP12 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS w FROM benchmark),
+i AS (SELECT item, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+x AS (SELECT DISTINCT item, n, array_to_string(w[s:s + n - 1], ' ') AS g FROM i, range(1, 1000000) AS t(s) WHERE s <= len(w) - n + 1),
+l AS (SELECT DISTINCT n FROM i),
+y AS (SELECT r, s, n, array_to_string(w[s:s + n - 1], ' ') AS g
+      FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, l)),
+f AS MATERIALIZED (SELECT r, s, n, item FROM y JOIN x USING (n, g)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM f) GROUP BY r),
+j AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM f) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN j USING (r)
+"""
+
+
+def _leaf(n_chars: str) -> str:
+    told = ", ".join(
+        f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c}), '-')" for c in ("doc_id", "source", "lang", n_chars, "text")
+    )
+    return f"sha256(concat({told}))"
+
+
+def _tree(name: str, source: str) -> str:
+    """All levels of the trees over ``source`` (tree, i, n, h)."""
+    return f"""
+{name}(tree, lv, i, n, h) AS (
+  SELECT tree, 0, i, n, h FROM {source}
+  UNION ALL
+  SELECT tree, any_value(lv) + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i))
+  FROM {name} WHERE n > 1 GROUP BY tree, i // 2)"""
+
+
+OP13 = f"""
+WITH RECURSIVE t AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)),
+      lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+d AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf('n_chars')} AS h, {_leaf('n_chars + 1')} AS h1, n_chars,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii((doc_id::VARCHAR)[k])::BIGINT)),
+           lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS crc
+  FROM documents, t),
+l AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n
+  FROM d),
+{_tree('a', 'l')},
+s AS MATERIALIZED (
+  SELECT '' AS tree, tree AS lang, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n, h FROM a WHERE n = 1),
+{_tree('b', 's')},
+g AS MATERIALIZED (
+  SELECT a.tree, a.lv, a.i, false AS up, a.h FROM a UNION ALL SELECT s.lang, b.lv, b.i, true, b.h FROM b, s),
+q AS MATERIALIZED (
+  SELECT l.doc_id, l.tree, l.h AS leaf, s.h AS subroot, s.i AS si, l.i AS li,
+         CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL THEN h1 ELSE l.h END AS start,
+         (SELECT max(lv) FROM a WHERE a.tree = l.tree) AS high, (SELECT max(lv) FROM b) AS top
+  FROM l JOIN s ON s.lang = l.tree),
+f(tree, li, k, high, top, si, acc, told) AS (
+  SELECT tree, li, 0, high, top, si, start, '' FROM q
+  UNION ALL
+  SELECT f.tree, f.li, f.k + 1, f.high, f.top, f.si,
+         sha256(CASE WHEN g.h IS NULL THEN acc WHEN g.i < pos THEN g.h || acc ELSE acc || g.h END), told || coalesce(g.h, '')
+  FROM (SELECT *, k >= high AS up, CASE WHEN k < high THEN k ELSE k - high END AS lv,
+               CASE WHEN k < high THEN li >> k ELSE si >> (k - high) END AS pos FROM f WHERE k < high + top) f
+  LEFT JOIN g ON g.tree = f.tree AND g.up = f.up AND g.lv = f.lv AND g.i = xor(pos, 1))
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(told) AS proof_sha256, acc AS folded_root, acc = r.h AS verified
+FROM q JOIN f ON f.tree = q.tree AND f.li = q.li AND f.k = q.high + q.top, (SELECT h FROM b WHERE n = 1) r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op3_parity_join": OP3, "op6_url_filter": OP6, "op7_exact_dedup": OP7, "op8_pii": OP8}
+    return {
+        "op1_mixing": OP1, "op3_parity_join": OP3, "op6_url_filter": OP6, "op7_exact_dedup": OP7, "op8_pii": OP8,
+        "op11_centroids": OP11, "op12_decontaminate": OP12, "op13_merkle": OP13,
+    }

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelight.llm import exact_dedup, html_text, mixing, packing, parity_join, pii, quality, simhash, spans, url_rules
+from sourcelight.llm import (
+    centroids, exact_dedup, html_text, merkle, mixing, packing, parity_join, phrase_index, pii, quality, simhash, spans,
+    url_rules,
+)
 from sourcelight.llm.common import saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +103,40 @@ def op4_quality(spark, sf_dir):
 def op3_parity_join(spark, sf_dir):
     like = parity_join.Likeness(words=4, num=85, den=100)
     return parity_join.similar_groups(table(spark, sf_dir, "documents"), like)
+
+
+@query
+def op11_centroids(spark, sf_dir):
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed="2:")
+    return centroids.with_inertia(found).select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.col("centroid").cast("binary"), 256).alias("centroid_sha256"),
+    )
+
+
+@query
+def op12_decontaminate(spark, sf_dir):
+    found = phrase_index.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query
+def op13_merkle(spark, sf_dir):
+    """Tampering adds 1 to n_chars where 7 divides the CRC of the id."""
+    docs = table(spark, sf_dir, "documents")
+    names = ("doc_id", "source", "lang", "n_chars", "text")
+    leaf = merkle.digest(*[merkle.field(F.col(c)) for c in names])
+    more = {"n_chars": F.col("n_chars").cast("decimal(38,0)") + 1}
+    changed = merkle.digest(*[merkle.field(more.get(c, F.col(c))) for c in names])
+    hit = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    made = merkle.manifest(
+        docs, F.col("lang"), F.col("doc_id"), leaf, {"doc_id": F.col("doc_id"), "tampered": F.when(hit, changed)}
+    )
+    return made.proofs.select(
+        "doc_id", "leaf", "subroot", F.lit(made.root).alias("root"), merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
