@@ -29,14 +29,14 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write a table once into the shared folder and read it back: cuts lineage, survives lost executors.
 
     The optimizer then knows its size, so a later join is broadcast only if the
     written files are below the session's threshold.
     """
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from sourcelight.llm.common import saved
 
 #: Words after which a segment is closed. A longer document has one of its own.
-SEGMENT_WORDS = 2_000_000
+SEGMENT_WORDS = 1_000_000
+_ROWS = 20_000
 #: Windows that are sought in a segment by one call.
 WINDOWS_A_CALL = 50_000
 
@@ -134,8 +135,13 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         if segment.ids:
             yield from segment.rows(number)
 
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            for start in range(0, batch.num_rows, _ROWS):
+                yield batch.slice(start, _ROWS)
+
     rows = docs.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return saved(rows.mapInArrow(run, INDEX_SHAPE), "phrase-index")
+    return saved(rows.mapInArrow(short, INDEX_SHAPE), "phrase-index", compression="zstd")
 
 
 def indexed_documents(index: DataFrame, id_type: str = "bigint") -> DataFrame:
@@ -169,11 +175,10 @@ def item_words(items: DataFrame, id_column: str = "item_id", text_column: str =
     return saved(named.mapInArrow(run, "item string, no bigint, words array<string>"), "phrase-items")
 
 
-def _rarity(index: DataFrame, items: DataFrame) -> DataFrame:
+def _rarity(terms: DataFrame, items: DataFrame) -> DataFrame:
     """Items with the corpus frequency of each of their words (0: nowhere)."""
     placed = items.select("no", F.posexplode("words").alias("p", "term"))
-    held = index.where(F.col("term").isNotNull())
-    known = held.groupBy(F.col("term").alias("_t")).agg(F.sum("n").alias("cf"))  # frequent terms combine before the shuffle
+    known = terms.groupBy(F.col("term").alias("_t")).agg(F.sum("n").alias("cf"))  # frequent terms combine before the shuffle
     counted = placed.join(known, F.col("term") == F.col("_t"), "left")
     # One row per item, as long as its text.
     lists = counted.groupBy("no").agg(
@@ -278,22 +283,20 @@ def occurrences(index: DataFrame, items: DataFrame, size: int = 10, seek: Callab
     most about ``WINDOWS_A_CALL`` windows per call, more items are dealt to more
     calls.
     """
-    rated = saved(_rarity(index, items), "phrase-rarity")
-    total = rated.agg(F.sum(F.greatest(F.size("words") - size + 1, F.lit(1)))).first()[0] or 0
+    total = items.agg(F.sum(F.greatest(F.size("words") - size + 1, F.lit(1)))).first()[0] or 0
     calls = -(-total // WINDOWS_A_CALL) or 1
     call = F.pmod(F.xxhash64("no"), F.lit(calls)).cast("int")
-    terms = index.where(F.col("term").isNotNull())
+    # Stored, so the optimizer knows its size: a short list goes to the scan of the index, a long one is merged.
+    wanted = saved(items.select(call.alias("call"), F.explode("words").alias("_t")).distinct(), "phrase-terms")
+    held = index.where(F.col("term").isNotNull())
+    terms = held.select("segment", "term", "n").join(wanted.select("_t").distinct(), F.col("term") == F.col("_t"), "left_semi")
+    rated = saved(_rarity(terms, items), "phrase-rarity")
     where = terms.select("segment", "term").join(_anchors(rated, size).distinct(), F.col("term") == F.col("_t"))
     sought = where.select("segment", F.col("no").alias("_no")).distinct()
-    asked = saved(
-        rated.join(sought, F.col("no") == F.col("_no")).select("segment", call.alias("call"), "item", "words", "cfs"),
-        "phrase-sought",
-    )
-    needed = asked.select(F.col("segment").alias("_s"), F.col("call").alias("_c"), F.explode("words").alias("_t")).distinct()
-    # By (segment, term): a term that every segment holds is no hot key.
-    given = terms.join(needed, (F.col("segment") == F.col("_s")) & (F.col("term") == F.col("_t"))).select(
-        "segment", F.col("_c").alias("call"), "term", "postings"
+    asked = rated.join(sought, F.col("no") == F.col("_no")).select(
+        F.col("segment").alias("segment"), call.alias("call"), "item", "words", "cfs"
     )
+    given = held.join(wanted, F.col("term") == F.col("_t")).select("segment", "call", "term", "postings")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
