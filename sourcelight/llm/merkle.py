@@ -23,6 +23,7 @@ from sourcelight.llm.common import saved
 
 PATH = "array<struct<before:string,after:string>>"
 _PATH_TYPE = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
+_STRETCH = 12  # rows that look up their number together: 2 to this power
 _PART = 33  # monotonically_increasing_id: partition above, row below this bit
 
 
@@ -52,7 +53,6 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     counts before it are joined back by short stretches, so no tree, however
     large, is numbered by one task.
     """
-    stretch = 12
     placed = saved(
         rows.repartitionByRange("tree", *order)
         .sortWithinPartitions("tree", *order)
@@ -64,11 +64,12 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     line = Window.partitionBy("tree").orderBy("part")
     whole = Window.partitionBy("tree")
     offsets = counts.select(
-        F.col("tree").alias("_t"), "first", F.sum("rows").over(whole).alias("n"),
-        (F.sum("rows").over(line) - F.col("rows") - F.col("first")).alias("shift"),
-        F.explode(F.sequence(F.shiftright("first", stretch), F.shiftright(F.col("first") + F.col("rows") - 1, stretch))).alias("_s"),
+        F.col("tree").alias("_t"), "first", (F.col("first") + F.col("rows") - 1).alias("last"),
+        F.sum("rows").over(whole).alias("n"), (F.sum("rows").over(line) - F.col("rows") - F.col("first")).alias("shift"),
     )
-    joined = placed.join(offsets, (F.col("tree") == F.col("_t")) & (F.shiftright("_row", stretch) == F.col("_s")))
+    stretches = F.explode(F.sequence(F.shiftright("first", _STRETCH), F.shiftright("last", _STRETCH)))
+    offsets = offsets.select("_t", "n", "shift", stretches.alias("_s"))  # after the windows, which count each part once
+    joined = placed.join(offsets, (F.col("tree") == F.col("_t")) & (F.shiftright("_row", _STRETCH) == F.col("_s")))
     return joined.select(*rows.columns, (F.col("_row") + F.col("shift")).alias("idx"), "n")
 
 

@@ -195,7 +195,7 @@ g AS MATERIALIZED (
   SELECT a.tree, a.lv, a.i, false AS up, a.h FROM a UNION ALL SELECT s.lang, b.lv, b.i, true, b.h FROM b, s),
 q AS MATERIALIZED (
   SELECT l.doc_id, l.tree, l.h AS leaf, s.h AS subroot, s.i AS si, l.i AS li,
-         CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL THEN h1 ELSE l.h END AS start,
+         CASE WHEN crc % 7 = 0 AND doc_id IS NOT NULL AND n_chars IS NOT NULL THEN h1 ELSE l.h END AS start,
          (SELECT max(lv) FROM a WHERE a.tree = l.tree) AS high, (SELECT max(lv) FROM b) AS top
   FROM l JOIN s ON s.lang = l.tree),
 f(tree, li, k, high, top, si, acc, told) AS (
