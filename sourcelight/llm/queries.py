@@ -81,7 +81,7 @@ def op5_simhash(spark, sf_dir):
     """Every 50th document also asks how many others lie within 17 bits (README: what that finds)."""
     prints = saved(simhash.edited_fingerprints(table(spark, sf_dir, "documents")), "simhash-prints")
     near = simhash.near_counts(prints.select("doc_id", "f1", "f2"), F.col("doc_id") % 50 == 0, radius=17, flips=2)
-    return prints.join(near.withColumnRenamed("doc_id", "_asked"), F.col("doc_id") == F.col("_asked"), "left").select(
+    return prints.join(near.withColumnRenamed("doc_id", "_asked").hint("merge"), F.col("doc_id") == F.col("_asked"), "left").select(
         "doc_id", "n_chars", "edited_sha256",
         simhash.told(F.col("f1"), F.col("f2")).alias("fingerprint"),
         simhash.told(F.col("e1"), F.col("e2")).alias("edited_fingerprint"),
