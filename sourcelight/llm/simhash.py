@@ -110,22 +110,21 @@ def near_counts(prints: DataFrame, wanted: Column, radius: int = 3, kept: int =
     all_prints = prints.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("rows"))
     asked = prints.where(wanted).select("f1", "f2").distinct()
 
-    def key(t: int, *blocks: Column) -> Column:
-        return F.xxhash64(F.lit(t), *blocks)
-
-    def changed(t: int) -> Column:
-        """Keys of table t for all changes of up to ``flips`` bits."""
-        if not flips:
-            return F.array(key(t, *[_block(*ranges[b]) for b in tables[t]]))
-        start, end = ranges[t]
-        masks = [sum(1 << i for i in c) for n in range(flips + 1) for c in combinations(range(end - start), n)]
-        return F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: key(t, F.col(f"_block{t}").bitwiseXOR(m)))
-
-    held = F.array(*[key(t, *[_block(*ranges[b]) for b in table]) for t, table in enumerate(tables)])
+    held = F.array(*[F.xxhash64(F.lit(t), *[_block(*ranges[b]) for b in table]) for t, table in enumerate(tables)])
     b = all_prints.select("*", F.posexplode(held)).toDF("b1", "b2", "rows", "tb", "kb")
-    blocks = asked.select("f1", "f2", *[_block(*ranges[t]).alias(f"_block{t}") for t in range(len(tables)) if flips])
-    probes = F.flatten(F.array(*[changed(t) for t in range(len(tables))]))
-    a = blocks.select("f1", "f2", F.explode(probes)).toDF("a1", "a2", "ka")
+    if flips:
+        masks = [
+            (t, sum(1 << i for i in c)) for t, (start, end) in enumerate(ranges)
+            for n in range(flips + 1) for c in combinations(range(end - start), n)
+        ]
+        # As many rows as the parameters give, whatever the corpus.
+        changes = F.broadcast(prints.sparkSession.createDataFrame(masks, "_t int, mask bigint"))
+        blocks = F.array(*[F.struct(F.lit(t).alias("t"), _block(*r).alias("block")) for t, r in enumerate(ranges)])
+        probed = asked.select("f1", "f2", F.inline(blocks)).join(changes, F.col("t") == F.col("_t"))
+        a = probed.select("f1", "f2", F.xxhash64("t", F.col("block").bitwiseXOR(F.col("mask"))))
+    else:
+        a = asked.select("f1", "f2", F.explode(held))
+    a = a.toDF("a1", "a2", "ka")
 
     def differ(start: int, end: int) -> Column:
         bits = F.lit(0)
@@ -144,10 +143,11 @@ def near_counts(prints: DataFrame, wanted: Column, radius: int = 3, kept: int =
             met = met & (differ(*ranges[block]) <= flips)
         first = F.when(met, t).otherwise(first)
     close = distance(F.col("a1"), F.col("a2"), F.col("b1"), F.col("b2")) <= radius
-    met = a.join(b, (F.col("ka") == F.col("kb")) & close & (first == F.col("tb")))
+    # Both sides grow with the corpus, so neither is ever sent to all tasks.
+    met = a.hint("merge").join(b.hint("merge"), (F.col("ka") == F.col("kb")) & close & (first == F.col("tb")))
     counts = met.groupBy("a1", "a2").agg((F.sum("rows") - 1).alias("n_near"))
     ids = prints.where(wanted).select("doc_id", "f1", "f2")
-    return ids.join(counts, (F.col("f1") == F.col("a1")) & (F.col("f2") == F.col("a2"))).select("doc_id", "n_near")
+    return ids.join(counts.hint("merge"), (F.col("f1") == F.col("a1")) & (F.col("f2") == F.col("a2"))).select("doc_id", "n_near")
 
 
 def _with_next(docs: DataFrame) -> DataFrame:
@@ -165,7 +165,10 @@ def _with_next(docs: DataFrame) -> DataFrame:
     bounds = rows.agg(F.percentile_approx("doc_id", cuts, 10000)).first()[0] or []
     bounds = sorted(set(bounds))
     at_or_above = F.filter(F.array(*[F.lit(b).cast("bigint") for b in bounds]), lambda b: b <= F.col("doc_id"))
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(at_or_above) if bounds else F.lit(0))
+    # Rows without an id come last, by the hash of their text; the buckets below zero are ranges of it.
+    high = F.shiftrightunsigned(F.xxhash64("text").bitwiseXOR(F.lit(-(1 << 63))), 33)
+    no_id = (-1 - F.shiftright(high * parts, 31)).cast("int")
+    bucket = F.when(F.col("doc_id").isNull(), no_id).otherwise(F.size(at_or_above) if bounds else F.lit(0))
     dealt = rows.withColumn("bucket", bucket)
     tops = sorted(
         ((r["bucket"], r["top"]) for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()),
