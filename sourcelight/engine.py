@@ -38,7 +38,9 @@ class Engine:
 
     # --- knowledge base ---
     def rebuild(self, directory: str, force: bool = False) -> dict:
-        return self.index.build(files.load_directory(self.spark, directory, pdf_parser=self.pdf_parser), force)
+        """Bring the index to the folder's files; only new and changed ones are parsed."""
+        listed = files.list_files(self.spark, directory)
+        return self.index.refresh(listed, lambda new: files.parse_files(new, pdf_parser=self.pdf_parser), force)
 
     def documents(self) -> DataFrame:
         return catalog.document_summaries(self.index.documents(), self.index.chunks())
@@ -48,13 +50,13 @@ class Engine:
 
     def ask(self, questions: DataFrame, extractive: bool = True) -> DataFrame:
         return conversation.ask(
-            self.index.chunks(), self.index.documents(), conversation.check_requests(questions), self.settings, self.vocabulary, self.generate,
+            self.index.search_index(), self.index.documents(), conversation.check_requests(questions), self.settings, self.vocabulary, self.generate,
             extractive, self.index.search_embedding(), self.rerank,
         )
 
     def search(self, questions: DataFrame, top_k: int | None = None) -> DataFrame:
         return retrieval.hybrid(
-            self.index.chunks(), questions, self.settings, top_k, self.index.search_embedding(), self.rerank
+            self.index.search_index(), questions, self.settings, top_k, self.index.search_embedding(), self.rerank
         )
 
     # --- evaluation ---

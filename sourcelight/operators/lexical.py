@@ -1,18 +1,11 @@
-"""BM25 statistics and ranking."""
+"""BM25 statistics."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcelight.functions import text as X
-from sourcelight.operators.topk import SCORE_DIGITS, list_lengths
 from sourcelight.settings import DEFAULT_SETTINGS, Settings
 
 
@@ -52,136 +45,3 @@ def saturation(tf: Column, length: Column, avg_len: float, settings: Settings =
     k1, b = settings.bm25_k1, settings.bm25_b
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * length / F.lit(avg_len or 1.0))
     return tf * F.lit(k1 + 1.0) / (tf + norm)
-
-
-@dataclass
-class CorpusStats:
-    """Size figures and the document frequencies of one question batch's terms."""
-
-    n: int
-    avg_len: float
-    idf: dict[str, float]
-
-
-def batch_stats(tokenized: DataFrame, terms: Sequence[str]) -> CorpusStats:
-    """Statistics for a bounded set of question terms, one scan of the corpus.
-
-    Every task counts its own texts against the shipped terms and emits one row
-    per term seen; the corpus size travels in the same rows as term number -1.
-    """
-    vocabulary = list(terms)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = pa.array(vocabulary, pa.string())
-        seen = np.zeros(len(vocabulary), dtype=np.int64)
-        texts = total = 0
-        for batch in batches:
-            tokens = batch.column("tokens")
-            lengths = list_lengths(tokens)
-            texts += len(lengths)
-            total += int(lengths.sum())
-            index = pc.fill_null(pc.index_in(tokens.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False)
-            known = index >= 0
-            owner = np.repeat(np.arange(len(lengths)), lengths)[known]
-            pairs = np.unique(owner * max(len(vocabulary), 1) + index[known])
-            seen += np.bincount(pairs % max(len(vocabulary), 1), minlength=len(vocabulary))
-        hit = np.nonzero(seen)[0]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([[-1], hit]), pa.int32()),
-                pa.array(np.concatenate([[texts], seen[hit]]), pa.int64()),
-                pa.array(np.concatenate([[total], np.zeros(len(hit))]), pa.int64()),
-            ],
-            names=["term_no", "df", "total"],
-        )
-
-    rows = (
-        tokenized.select("tokens")
-        .mapInArrow(count, "term_no int, df long, total long")
-        .groupBy("term_no")
-        .agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
-        .collect()
-    )
-    figures = {r["term_no"]: r for r in rows}
-    n, total = (figures[-1]["df"], figures[-1]["total"]) if -1 in figures else (0, 0)
-    weights = {
-        vocabulary[no]: float(np.log(1.0 + (n - r["df"] + 0.5) / (r["df"] + 0.5)))
-        for no, r in figures.items()
-        if no >= 0
-    }
-    return CorpusStats(n=n, avg_len=(total / n if n else 0.0), idf=weights)
-
-
-class Bm25Leg:
-    """Lexical scores of a bounded question batch; repeated terms count again."""
-
-    name = "bm25"
-    positive_only = True
-
-    def __init__(self, question_tokens: list[list[str]], stats: CorpusStats, settings: Settings = DEFAULT_SETTINGS):
-        self.vocabulary = sorted({t for tokens in question_tokens for t in tokens if t in stats.idf})
-        slot = {t: i for i, t in enumerate(self.vocabulary)}
-        self.weights = np.zeros((len(self.vocabulary), len(question_tokens)))
-        for q, tokens in enumerate(question_tokens):
-            for term in tokens:
-                if term in slot:
-                    self.weights[slot[term], q] += stats.idf[term]
-        self.avg_len = stats.avg_len or 1.0
-        self.k1, self.b = settings.bm25_k1, settings.bm25_b
-        self.width = max(1, len(self.vocabulary))
-
-    def columns(self) -> list[str]:
-        return ["tokens"]
-
-    def scores(self, batch: pa.RecordBatch) -> np.ndarray:
-        tokens = batch.column("tokens")
-        n, v = batch.num_rows, len(self.vocabulary)
-        if v == 0:
-            return np.zeros((n, self.weights.shape[1]))
-        lengths = list_lengths(tokens)
-        hits = pc.index_in(tokens.flatten(), value_set=pa.array(self.vocabulary, pa.string()))
-        index = pc.fill_null(hits, -1).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(n), lengths)
-        known = index >= 0
-        tf = np.bincount(row[known] * v + index[known], minlength=n * v).reshape(n, v).astype(float)
-        norm = self.k1 * (1.0 - self.b + self.b * lengths / self.avg_len)
-        return (tf * (self.k1 + 1.0) / (tf + norm[:, None])) @ self.weights
-
-
-def bm25_join(
-    tokenized: DataFrame, questions: DataFrame, k: int, settings: Settings = DEFAULT_SETTINGS
-) -> DataFrame:
-    """Top-k by inverted-index join, for question batches too large to ship.
-
-    Postings are restricted to question terms before any shuffle. The term join
-    carries no hint: AQE broadcasts the question terms while they are small and
-    splits hot terms when they are not. Output: query_id, chunk, score, rank.
-    """
-    size = corpus_size(tokenized).first()
-    q_terms = (
-        questions.select("query_id", F.explode("tokens").alias("term"))
-        .groupBy("query_id", "term")
-        .agg(F.count("*").alias("qtf"))
-    )
-    wanted = q_terms.select("term").distinct()
-    postings = (
-        tokenized.select(
-            "chunk_id", "document_id", "chunk_index", F.size("tokens").alias("len"), F.explode("tokens").alias("term")
-        )
-        .join(wanted, "term", "left_semi")
-        .groupBy("chunk_id", "document_id", "chunk_index", "len", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    df = document_frequencies(tokenized).join(wanted, "term", "left_semi")
-    weighted = q_terms.join(df, "term").select(
-        "query_id", "term", (F.col("qtf") * idf(F.lit(float(size["n"])), F.col("df"))).alias("w")
-    )
-    scored = (
-        postings.withColumn("sat", saturation(F.col("tf"), F.col("len"), size["avg_len"], settings))
-        .join(weighted, "term")
-        .groupBy("query_id", "chunk_id", "document_id", "chunk_index")
-        .agg(F.round(F.sum(F.col("w") * F.col("sat")), SCORE_DIGITS).alias("score"))
-        .where(F.col("score") > 0)
-    )
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "chunk_index")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

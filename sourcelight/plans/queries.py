@@ -12,8 +12,8 @@ from sourcelight.functions import html
 from sourcelight.functions import text as X
 from sourcelight.functions.hashing import feature_positions, hash_vectors
 from sourcelight.operators import (
-    access, catalog, chunking, clauses, compose, conversation, evaluation, evidence, feedback, lexical, news,
-    retrieval, topk, vectors,
+    access, catalog, cells, chunking, clauses, compose, conversation, evaluation, evidence, feedback, lexical, news,
+    postings, retrieval, vectors,
 )
 from sourcelight.plans import corpus, rendered
 from sourcelight.rules import clauses as CL
@@ -154,10 +154,8 @@ def corpus_fingerprint(spark, sf):
 
 
 def _legs(spark, sf, settings=LATIN):
-    prepared = retrieval.prepare_chunks(corpus.chunks(spark, sf))
-    return retrieval.search_legs(
-        prepared, retrieval.prepare_questions(corpus.questions(spark, sf)), TOP_K, settings
-    )[0]
+    asked = retrieval.prepare_questions(corpus.questions(spark, sf))
+    return retrieval.search_legs(corpus.chunks(spark, sf), asked, TOP_K, settings)[0]
 
 
 @query
@@ -168,10 +166,10 @@ def bm25_topk(spark, sf):
 
 @query
 def bm25_join_topk(spark, sf):
-    """The same ranking by inverted-index join, for batches too large to ship."""
-    prepared = retrieval.prepare_chunks(corpus.chunks(spark, sf))
+    """The same ranking with every list of the question terms opened."""
+    index = retrieval.build_search_index(corpus.chunks(spark, sf))
     asked = retrieval.prepare_questions(corpus.questions(spark, sf))
-    return lexical.bm25_join(prepared, asked, TOP_K).select("query_id", "rank", "chunk_id", "score")
+    return postings.bm25_join(index.lexical, asked, TOP_K).select("query_id", "rank", "chunk_id", "score")
 
 
 @query
@@ -236,10 +234,11 @@ def vector_topk(spark, sf):
 
 @query
 def vector_grid_topk(spark, sf):
-    """The same search by strips, for question sets too large to ship."""
+    """The same search over stored cells, those out of reach skipped."""
     table = _vector_table(spark, sf).drop("label")
     asked = _centroids(corpus.table(spark, sf, "embeddings")).withColumnRenamed("label", "query_id")
-    return vectors.grid_top_k(table, asked, TOP_K).select("query_id", "rank", "chunk_id", "score")
+    found = cells.cell_search(cells.build_cells(table), asked, TOP_K).rows
+    return found.select("query_id", "rank", "chunk_id", "score")
 
 
 @query
@@ -573,7 +572,7 @@ def acl_visible(spark, sf):
 def acl_bm25(spark, sf):
     """Ranking over the documents one role may see; statistics come from them alone."""
     docs = access.visible_documents(_restricted(spark, sf), "business")
-    own = retrieval.prepare_chunks(chunking.split_documents(docs.drop("allowed_roles")))
+    own = chunking.split_documents(docs.drop("allowed_roles"))
     asked = retrieval.prepare_questions(corpus.questions(spark, sf))
     found, _ = retrieval.search_legs(own, asked, 5, Settings(vector_mode="none"))
     return found.select("query_id", "rank", "chunk_id", "score")

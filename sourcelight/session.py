@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,3 +36,25 @@ def fenced(df: DataFrame, *keys: str) -> DataFrame:
     session's, so adaptive execution may change it.
     """
     return df.repartition(*keys)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``; a local session without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="sourcelight-shared-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, path: str = "", label: str = "table") -> DataFrame:
+    """Write a table once, to ``path`` or a new place in the shared folder, and read it back.
+
+    What is read survives lost executors, and its size is known, so a later join
+    sends it to all tasks only below the session's threshold.
+    """
+    path = path or f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

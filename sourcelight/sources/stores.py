@@ -5,23 +5,27 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourcelight.functions.hashing import hash_vectors
+from sourcelight.functions.hashing import count_vectors
+from sourcelight.operators import cells, postings
 from sourcelight.operators.access import check_role
+from sourcelight.operators.chunking import split_documents
 from sourcelight.operators.feedback import normalize_feedback
-from sourcelight.operators.retrieval import prepare_chunks
+from sourcelight.operators.retrieval import SearchIndex, chunk_columns, prepare_chunks
 from sourcelight.operators.vectors import embed_column
-from sourcelight.operators.chunking import split_documents
 from sourcelight.rules import vocabulary as V
+from sourcelight.session import stored
 from sourcelight.settings import DEFAULT_SETTINGS, Settings
-from sourcelight.sources.files import fingerprint, path_exists
+from sourcelight.sources.files import file_digests, fingerprint, named_files, path_exists
 
-INDEX_VERSION = 1
+INDEX_VERSION = 2
 DOCUMENT_SCHEMA = (
     "document_id string, title string, category string, source_path string, content string, sections array<string>, "
     "status string, error string, version string, effective_date string, department string, owner string, "
@@ -31,14 +35,23 @@ FEEDBACK_SCHEMA = "feedback_id string, question string, answer string, rating st
 ACL_SCHEMA = "source_path string, allowed_roles array<string>"
 
 
-class IndexStore:
-    """Documents, chunks with tokens, and vectors as Parquet tables in one folder.
+MAX_SEGMENTS = 8
+
 
-    Chunks are stored tokenised and partitioned by knowledge base, so searches
-    read only their partition and tokenise nothing. A plug-in embedding is
-    called once for each chunk, when the index is built, and its vectors are
-    stored beside the chunks; if it fails there, feature-hash vectors serve
-    instead and the metadata says so.
+class IndexStore:
+    """Documents, chunks, postings and vectors as Parquet tables, in segments.
+
+    A build compares digests of the files with those of the stored ones, parses
+    only new and changed files, and writes them as one more segment; unchanged
+    files stay where they are. A segment that holds a removed or changed file is
+    written again from its stored documents, without parsing, and so are all of
+    them once there are more than ``MAX_SEGMENTS``. An unchanged corpus writes
+    nothing. Readers take the union of the segments that the newest metadata row
+    names; it is appended last, so a failed build leaves the previous one in use.
+
+    A plug-in embedding is called once for each new chunk; if it fails there,
+    feature-hash vectors serve the segment instead, and searches use the plug-in
+    only if all segments have its vectors.
     """
 
     def __init__(
@@ -56,22 +69,6 @@ class IndexStore:
         meta = self.metadata()
         return self.embed if meta and meta["effective_embedding_provider"] == "plugged" else None
 
-    def _write_chunks(self, prepared: DataFrame, base: str) -> tuple[str, str, str]:
-        """Table name, provider of the vectors, and why it is not the plug-in."""
-        error = ""
-        if self.embed is not None:
-            vectors = prepared.withColumn("vector", embed_column(self.embed)("content"))
-            try:
-                vectors.write.partitionBy("knowledge_base_id").parquet(f"{base}/chunks-plugged")
-                return "chunks-plugged", "plugged", ""
-            except PySparkException as exc:  # the plug-in failed in a task
-                error = type(exc).__name__
-        prepared.write.partitionBy("knowledge_base_id").parquet(f"{base}/chunks")
-        return "chunks", "local" if self.settings.vector_mode == "hash" else "bm25_only", error
-
-    def corpus_fingerprint(self, documents: DataFrame) -> str:
-        return fingerprint(documents, self.settings_key()).first()["fingerprint"]
-
     def metadata(self) -> dict | None:
         """The newest build's row, or None before the first build. A table that cannot be read is an error."""
         if not path_exists(self.spark, f"{self.folder}/metadata"):
@@ -82,63 +79,142 @@ class IndexStore:
     def exists(self) -> bool:
         return self.metadata() is not None
 
+    # --- building ---
     def build(self, documents: DataFrame, force: bool = False) -> dict:
-        """Write the index unless the stored one has the same fingerprint.
-
-        Tables are written to a new folder per build, and a row of metadata is
-        appended last, so a failed build leaves the previous index in use. The
-        files are parsed once: all else is derived from the written documents.
-        """
-        built = f"build-{uuid.uuid4().hex}"
-        base = f"{self.folder}/{built}"
-        documents.write.parquet(f"{base}/documents")
-        parsed = self.spark.read.schema(documents.schema).parquet(f"{base}/documents")
-        digest = self.corpus_fingerprint(parsed)
+        """Bring the index to these parsed documents; a document counts as unchanged if all its fields do."""
+        row = F.sha2(F.to_json(F.struct(*sorted(documents.columns))), 256)
+        now = documents.select("source_path", "document_id", row.alias("digest"))
+        return self._refresh(now, lambda new: documents.join(new.select("source_path"), "source_path", "left_semi"), force)
+
+    def refresh(self, files: DataFrame, parse: Callable[[DataFrame], DataFrame], force: bool = False) -> dict:
+        """Bring the index to these (path, content) files; only new and changed ones are given to ``parse``."""
+
+        def load(new: DataFrame) -> DataFrame:
+            names = new.select("source_path", F.col("document_id").alias("_id"))
+            named = named_files(files)
+            wanted = named.join(names, "source_path", "left_semi").select("path", "content")
+            parsed = parse(wanted).join(names, "source_path").withColumn("document_id", F.col("_id")).drop("_id")
+            return parsed.drop("suffix")
+
+        return self._refresh(file_digests(files), load, force)
+
+    def _refresh(self, now: DataFrame, load: Callable[[DataFrame], DataFrame], force: bool) -> dict:
+        told = now.select("source_path", F.concat_ws(":", "document_id", "digest").alias("content"))
+        digest = fingerprint(told, self.settings_key()).first()["fingerprint"]
         current = self.metadata()
         if current and current["fingerprint"] == digest and not force:
             return current
-        chunks = split_documents(parsed, self.settings)
-        if chunks.isEmpty():
+        reuse = current and not force and current["settings_key"] == self.settings_key()
+        segments = list(current["segments"]) if reuse else []
+        built = f"build-{uuid.uuid4().hex}"
+        now = stored(now, f"{self.folder}/{built}/now")
+        key = ["source_path", "document_id", "digest"]
+        parts = [self.spark.read.parquet(f"{self.folder}/{s}/files").withColumn("_in", F.lit(s)) for s in segments]
+        fresh, dirty = now, []
+        if parts:
+            old = reduce(DataFrame.unionByName, parts)
+            fresh = now.join(old, key, "left_anti")
+            dirty = [r["_in"] for r in old.join(now, key, "left_anti").select("_in").distinct().collect()]
+        if len(segments) - len(dirty) + 1 > MAX_SEGMENTS:
+            dirty = segments
+        documents = load(fresh)
+        for s in dirty:
+            kept = self.spark.read.parquet(f"{self.folder}/{s}/files").join(now, key, "left_semi")
+            held = self.spark.read.parquet(f"{self.folder}/{s}/documents")
+            documents = documents.unionByName(held.join(kept.select("source_path"), "source_path", "left_semi"))
+        figures = self._write_segment(built, documents, (current["number"] + 1) if current else 0)
+        moved = self.spark.read.parquet(f"{self.folder}/{built}/documents").select("source_path")
+        now.join(moved, "source_path", "left_semi").write.parquet(f"{self.folder}/{built}/files")
+        names = [*(s for s in segments if s not in dirty), built]
+        all_figures = [self._figures(s) for s in names[:-1]] + [figures]
+        if not sum(f["chunk_count"] for f in all_figures):
             raise ValueError("no document content to index")
-        name, provider, error = self._write_chunks(prepare_chunks(chunks), base)
-        stored = self.spark.read.parquet(f"{base}/{name}")
-        if provider == "local":
-            hash_vectors(
-                stored.select("chunk_id", "document_id", "chunk_index", "content"), self.settings.hash_dim
-            ).write.parquet(f"{base}/vectors")
-        meta = {
+        providers = {f["provider"] for f in all_figures if f["chunk_count"]}
+        row = {
             "fingerprint": digest,
             "build": built,
-            "document_count": self.spark.read.parquet(f"{base}/documents").count(),
-            "chunk_count": stored.count(),
-            "chunk_table": name,
-            "dimension": {"local": self.settings.hash_dim, "bm25_only": 0}.get(provider) if provider != "plugged" else (
-                stored.select(F.max(F.size("vector"))).first()[0]
-            ),
-            "effective_embedding_provider": provider,
-            "embedding_error": error,
+            "number": (current["number"] + 1) if current else 0,
+            "settings_key": self.settings_key(),
+            "segments": names,
+            "document_count": sum(f["document_count"] for f in all_figures),
+            "chunk_count": sum(f["chunk_count"] for f in all_figures),
+            "dimension": max(f["dimension"] for f in all_figures),
+            "effective_embedding_provider": providers.pop() if len(providers) == 1 else "mixed",
+            "embedding_error": next((f["error"] for f in all_figures if f["error"]), ""),
         }
-        row = self.spark.createDataFrame([meta]).withColumn("built_at", F.current_timestamp())
-        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/metadata")
+        if row["effective_embedding_provider"] == "mixed":  # a plug-in that failed for one segment: hash vectors for all
+            return self._without_plugin().build(self.documents_of(names), force=True)
+        made = self.spark.createDataFrame([row]).withColumn("built_at", F.current_timestamp())
+        made.coalesce(1).write.mode("append").parquet(f"{self.folder}/metadata")
         return self.metadata()
 
-    def _table(self, name: str) -> DataFrame:
+    def _without_plugin(self) -> IndexStore:
+        return IndexStore(self.spark, self.folder, self.settings)
+
+    def documents_of(self, segments: Sequence[str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.folder}/{s}/documents") for s in segments])
+
+    def _figures(self, segment: str) -> dict:
+        return self.spark.read.parquet(f"{self.folder}/{segment}/figures").first().asDict()
+
+    def _write_segment(self, segment: str, documents: DataFrame, number: int) -> dict:
+        base = f"{self.folder}/{segment}"
+        parsed = stored(documents, f"{base}/documents")
+        prepared = prepare_chunks(postings.in_order(split_documents(parsed, self.settings)))
+        placed = postings.numbered(prepared, number)
+        provider, error = "local" if self.settings.vector_mode == "hash" else "bm25_only", ""
+        if self.embed is not None:
+            try:
+                embedded = placed.withColumn("vector", embed_column(self.embed)("content"))
+                embedded.write.partitionBy("knowledge_base_id").parquet(f"{base}/chunks-plugged")
+                provider = "plugged"
+            except PySparkException as exc:  # the plug-in failed in a task
+                error = type(exc).__name__
+        name = "chunks-plugged" if provider == "plugged" else "chunks"
+        if provider != "plugged":
+            placed.write.partitionBy("knowledge_base_id").parquet(f"{base}/{name}")
+        chunks = self.spark.read.schema(placed.schema if provider != "plugged" else embedded.schema).parquet(f"{base}/{name}")
+        texts, words = postings.lexical_figures(chunks)
+        mean = words / texts if texts else 0.0
+        postings.postings_of(chunks, mean, self.settings).write.parquet(f"{base}/postings")
+        dimension = 0
+        if provider != "bm25_only":
+            own = [*cells.KEYS, "knowledge_base_id"]
+            held = chunks.select(*own, "vector") if provider == "plugged" else count_vectors(
+                chunks.select(*own, "tokens", "squeezed"), self.settings.hash_dim
+            )
+            made = cells.build_cells(held, f"{base}/vectors", ("knowledge_base_id",))
+            told = [(i, [float(x) for x in p]) for i, p in enumerate(made.pivots)]
+            self.spark.createDataFrame(told, "cell int, pivot array<double>").coalesce(1).write.parquet(f"{base}/pivots")
+            dimension = made.pivots.shape[1]
+        figures = {
+            "chunk_table": name, "provider": provider, "error": error, "mean_len": float(mean), "dimension": dimension,
+            "document_count": parsed.count(), "chunk_count": texts,
+        }
+        self.spark.createDataFrame([figures]).coalesce(1).write.parquet(f"{base}/figures")
+        return figures
+
+    # --- reading ---
+    def _tables(self, name: str) -> DataFrame:
+        """The union of one table over all segments."""
         meta = self.metadata()
         if meta is None:
             raise ValueError("the index has not been built")
-        return self.spark.read.parquet(f"{self.folder}/{meta['build']}/{name}")
+        paths = [f"{self.folder}/{s}/{name or self._figures(s)['chunk_table']}" for s in meta["segments"]]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self.spark.read.parquet(p) for p in paths])
 
     def documents(self) -> DataFrame:
-        return self._table("documents")
+        return self._tables("documents")
 
     def chunks(self, knowledge_base_id: str = "policy") -> DataFrame:
-        name = (self.metadata() or {}).get("chunk_table", "chunks")
-        return self._table(name).where(F.col("knowledge_base_id") == knowledge_base_id)
+        """Chunks as ``split_documents`` gives them."""
+        held = self._tables("").where(F.col("knowledge_base_id") == knowledge_base_id)
+        return held.select(*chunk_columns(held))
 
     def vectors(self, expected_fingerprint: str | None = None) -> DataFrame:
         """Stored vectors after checking count, size and fingerprint."""
         meta = self.metadata()
-        table = self._table("vectors" if meta["effective_embedding_provider"] == "local" else meta["chunk_table"])
+        table = self._tables("vectors")
         figures = table.agg(
             F.count("*").alias("n"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high")
         ).first()
@@ -148,6 +224,28 @@ class IndexStore:
             raise ValueError("vectors do not match the corpus fingerprint")
         return table
 
+    def search_index(self, knowledge_base_id: str = "policy") -> SearchIndex:
+        """What a search reads: stored chunks, postings, and cells of vectors. Nothing is tokenised or hashed anew."""
+        own = F.col("knowledge_base_id") == knowledge_base_id
+        meta = self.metadata()
+        held = self._tables("").where(own)
+        texts, words = postings.lexical_figures(held)
+        means = [f["mean_len"] for f in map(self._figures, meta["segments"]) if f["chunk_count"]]
+        lexical = postings.LexicalIndex(
+            held, self._tables("postings").where(own), texts, words, min(means, default=0.0)
+        )
+        if meta["effective_embedding_provider"] == "bm25_only":
+            return SearchIndex(lexical)
+        parts = []
+        for s in meta["segments"]:
+            pivots = self.spark.read.parquet(f"{self.folder}/{s}/pivots").orderBy("cell").collect()
+            matrix = np.array([r["pivot"] for r in pivots], dtype=float).reshape(-1, meta["dimension"])
+            parts.append(cells.opened_cells(self.spark.read.parquet(f"{self.folder}/{s}/vectors").where(own), matrix))
+        index = cells.merged(parts)
+        if sum(index.rows) != texts:
+            raise ValueError("vectors do not match their metadata")
+        return SearchIndex(lexical, index)
+
 
 def read_documents_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON documents; fields added later default as for new documents."""
