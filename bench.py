@@ -33,7 +33,6 @@ def main() -> None:
         f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
         spark__ui__enabled="false",
-        spark__sourcelight__scanPartitions=cpus,  # each given table is one row group, which a scan cannot split
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "12g"),
     )
     spark.sparkContext.setLogLevel("ERROR")

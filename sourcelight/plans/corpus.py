@@ -14,17 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-SCAN_PARTITIONS = "spark.sourcelight.scanPartitions"
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out anew if the session asks for it by ``spark.sourcelight.scanPartitions``.
+    """Rows of a scan that has fewer partitions than there are cores, dealt out to all of them.
 
-    For tables stored as one row group, which a scan cannot split, whatever the
-    compute cost. Unset, as on a cluster with split files, nothing is moved.
+    A table of one row group cannot be split by its scan, whatever the compute
+    cost. A scan of many files is left as it is.
     """
-    wanted = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
-    return df.repartition(int(wanted)) if wanted else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,7 +122,9 @@ class IndexStore:
             kept = self.spark.read.parquet(f"{self.folder}/{s}/files").join(now, key, "left_semi")
             held = self.spark.read.parquet(f"{self.folder}/{s}/documents")
             documents = documents.unionByName(held.join(kept.select("source_path"), "source_path", "left_semi"))
-        figures = self._write_segment(built, documents, (current["number"] + 1) if current else 0)
+        taken = {self._figures(s)["slot"] for s in segments}
+        slot = min(set(range(len(taken) + 1)) - taken)  # chunk numbers of live segments never meet
+        figures = self._write_segment(built, documents, slot)
         moved = self.spark.read.parquet(f"{self.folder}/{built}/documents").select("source_path")
         now.join(moved, "source_path", "left_semi").write.parquet(f"{self.folder}/{built}/files")
         names = [*(s for s in segments if s not in dirty), built]
@@ -133,7 +135,6 @@ class IndexStore:
         row = {
             "fingerprint": digest,
             "build": built,
-            "number": (current["number"] + 1) if current else 0,
             "settings_key": self.settings_key(),
             "segments": names,
             "document_count": sum(f["document_count"] for f in all_figures),
@@ -157,11 +158,10 @@ class IndexStore:
     def _figures(self, segment: str) -> dict:
         return self.spark.read.parquet(f"{self.folder}/{segment}/figures").first().asDict()
 
-    def _write_segment(self, segment: str, documents: DataFrame, number: int) -> dict:
+    def _write_segment(self, segment: str, documents: DataFrame, slot: int) -> dict:
         base = f"{self.folder}/{segment}"
         parsed = stored(documents, f"{base}/documents")
-        prepared = prepare_chunks(postings.in_order(split_documents(parsed, self.settings)))
-        placed = postings.numbered(prepared, number)
+        placed = postings.numbered(prepare_chunks(split_documents(parsed, self.settings)), slot)
         provider, error = "local" if self.settings.vector_mode == "hash" else "bm25_only", ""
         if self.embed is not None:
             try:
@@ -189,7 +189,7 @@ class IndexStore:
             dimension = made.pivots.shape[1]
         figures = {
             "chunk_table": name, "provider": provider, "error": error, "mean_len": float(mean), "dimension": dimension,
-            "document_count": parsed.count(), "chunk_count": texts,
+            "document_count": parsed.count(), "chunk_count": texts, "slot": slot,
         }
         self.spark.createDataFrame([figures]).coalesce(1).write.parquet(f"{base}/figures")
         return figures
