@@ -105,7 +105,7 @@ class Engine:
         """Append a batch, then grant its roles; in between only legal sees it."""
         accepted = stores.upload_contracts(new, self.contracts(), actor_role, allowed_roles)
         accepted.write.mode("append").parquet(self.contract_path)
-        self.permissions.grant([r["source_path"] for r in accepted.select("source_path").collect()], allowed_roles)
+        self.permissions.grant(new.select("source_path"), allowed_roles)
 
     def list_contracts(self, role: str) -> DataFrame:
         return access.list_contracts(self.contracts(), role)

@@ -15,6 +15,7 @@ from sourcelight.operators.evidence import current_question, filter_sources, gat
 from sourcelight.operators.retrieval import collect_results, hybrid
 from sourcelight.rules import evidence_rules as R
 from sourcelight.rules import vocabulary as V
+from sourcelight.session import stored
 from sourcelight.settings import DEFAULT_SETTINGS, Settings
 
 STRETCH = 1024  # turns per stretch of a conversation
@@ -155,18 +156,42 @@ def adaptive_top_k(q: Column, settings: Settings = DEFAULT_SETTINGS) -> Column:
 # --- answering ----------------------------------------------------------------
 
 
-def catalog_answer(documents: DataFrame) -> DataFrame:
-    """One row listing the distinct titles of ready documents in corpus order.
+def catalog_titles(documents: DataFrame) -> DataFrame:
+    """Distinct titles of ready documents with the first file that has each."""
+    ready = documents.where((F.col("status") == "ready") & (F.col("title") != ""))
+    return ready.groupBy("title").agg(F.min("source_path").alias("first"))
+
 
-    Listing every title is the feature; titles are de-duplicated before they
-    are gathered.
+def catalog_lines(documents: DataFrame) -> DataFrame:
+    """The catalogue as rows (number, line) in corpus order; number 0 is the heading.
+
+    Titles are sorted in ranges and numbered by the ranges' sizes, one row per
+    range, so no list of all titles is ever held in one place.
     """
-    titles = (
-        documents.where((F.col("status") == "ready") & (F.col("title") != ""))
-        .groupBy("title")
-        .agg(F.min("source_path").alias("first"))
+    titles = stored(
+        catalog_titles(documents).repartitionByRange("first", "title").sortWithinPartitions("first", "title")
+        .withColumn("_row", F.monotonically_increasing_id()),
+        label="titles",
+    )
+    part = F.shiftright("_row", 33)
+    sizes = titles.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    line = Window.orderBy("_part")  # one row per range
+    shift = (F.sum("_n").over(line) - F.col("_n") - F.col("_first") + 1).alias("_shift")
+    offsets = sizes.select("_part", shift)
+    numbered = titles.join(offsets, part == F.col("_part")).withColumn("number", F.col("_row") + F.col("_shift"))
+    lines = numbered.select("number", F.concat(F.col("number").cast("string"), F.lit(". "), "title").alias("line"))
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
+    heading = F.concat(F.lit("知识库当前收录 "), F.col("n").cast("string"), F.lit(" 份文档："))
+    empty = F.lit("知识库当前还没有可用文档。")
+    head = total.select(
+        F.lit(0).cast("bigint").alias("number"), F.when(F.col("n") > 0, heading).otherwise(empty).alias("line")
     )
-    listed = titles.agg(F.array_sort(F.collect_list(F.struct("first", "title"))).alias("t"))
+    return head.unionByName(lines)
+
+
+def catalog_answer(documents: DataFrame) -> DataFrame:
+    """The catalogue as the one text that a person who asks for it reads."""
+    listed = catalog_titles(documents).agg(F.array_sort(F.collect_list(F.struct("first", "title"))).alias("t"))
     numbered = F.transform("t", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["title"]))
     text = F.concat(
         F.lit("知识库当前收录 "), F.size("t").cast("string"), F.lit(" 份文档："), F.array_join(numbered, "；"), F.lit("。")

@@ -303,7 +303,7 @@ def oracle_sql() -> dict[str, str]:
       (SELECT count(*) FROM chunks c WHERE c.document_id = docs.document_id) AS chunk_count FROM docs"""
     s["catalog_answer"] = f"""WITH {DOCS}, t AS (SELECT source, min(source_path) AS f FROM docs WHERE content <> '' GROUP BY 1),
       n AS (SELECT source, row_number() OVER (ORDER BY f, source) AS i FROM t)
-      SELECT '知识库当前收录 ' || count(*) || ' 份文档：' || string_agg(i || '. ' || source, '；' ORDER BY i) || '。' AS answer FROM n"""
+      SELECT 0 AS number, '知识库当前收录 ' || count(*) || ' 份文档：' AS line FROM n UNION ALL SELECT i, i || '. ' || source FROM n"""
     s["corpus_status"] = f"""WITH {DOCS}, {CHUNKS}, c AS (SELECT count(*) AS chunk_count FROM chunks)
       SELECT count(*) AS document_count, CAST(sum(CAST(content <> '' AS INT)) AS BIGINT) AS ready_document_count,
       CAST(sum(CAST(content = '' AS INT)) AS BIGINT) AS error_count, any_value(chunk_count) AS chunk_count,

@@ -132,7 +132,7 @@ def doc_catalog(spark, sf):
 def catalog_answer(spark, sf):
     """Lists distinct titles; here the sources stand in for document titles."""
     docs = corpus.documents(spark, sf).withColumn("title", F.col("department"))
-    return conversation.catalog_answer(docs)
+    return conversation.catalog_lines(docs)
 
 
 @query

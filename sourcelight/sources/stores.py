@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
@@ -284,39 +283,76 @@ class FeedbackStore:
         return stored
 
 
+PERMISSION_SCHEMA = "source_path string, allowed_roles array<string>, version bigint, writer string"
+
+
 class PermissionStore:
-    """Contract permissions: file name to roles. Malformed content fails closed."""
+    """Contract permissions as an append-only log: file name, roles, version, writer. Malformed content fails closed.
+
+    The newest version of a name is in force; null roles withdraw it. Writers
+    append rows of their own names only, so grants of different files never
+    undo each other; of two grants of one name and version the greater writer
+    id counts, the same one for every reader.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def read(self) -> DataFrame:
+    def log(self) -> DataFrame:
         if not path_exists(self.spark, self.path):
-            return self.spark.createDataFrame([], ACL_SCHEMA)
-        written = F.struct("_metadata.file_modification_time", "_metadata.file_name")
-        newest = self.spark.read.text(self.path, wholetext=True).orderBy(written.desc()).limit(1)
-        rows = newest.select(F.from_json("value", "map<string,array<string>>", {"mode": "FAILFAST"}).alias("m"))
-        known = F.forall("allowed_roles", lambda r: r.isNotNull() & r.isin(*V.ROLES))
-        entries = rows.select(F.explode("m").alias("source_path", "allowed_roles"))
-        return entries.withColumn(
-            "allowed_roles",
-            F.when(F.col("allowed_roles").isNotNull() & known, F.col("allowed_roles")).otherwise(
-                F.raise_error(F.lit("合同权限配置格式无效")).cast("array<string>")
-            ),
+            return self.spark.createDataFrame([], PERMISSION_SCHEMA)
+        rows = self.spark.read.text(self.path).select(
+            F.from_json("value", PERMISSION_SCHEMA, {"mode": "FAILFAST"}).alias("r")
+        ).select("r.*")
+        roles = F.coalesce(F.forall("allowed_roles", lambda r: r.isNotNull() & r.isin(*V.ROLES)), F.lit(True))
+        right = roles & F.col("source_path").isNotNull() & F.col("version").isNotNull() & F.col("writer").isNotNull()
+        checked = F.when(right, F.col("version")).otherwise(
+            F.raise_error(F.lit("合同权限配置格式无效")).cast("bigint")
         )
+        return rows.withColumn("version", checked)
+
+    def newest(self) -> DataFrame:
+        """source_path, allowed_roles, version: one row per name; its log combines before the shuffle."""
+        latest = F.max(F.struct("version", "writer", "allowed_roles")).alias("m")
+        return self.log().groupBy("source_path").agg(latest).select("source_path", "m.allowed_roles", "m.version")
+
+    def read(self) -> DataFrame:
+        return self.newest().where(F.col("allowed_roles").isNotNull()).select("source_path", "allowed_roles")
+
+    def append(self, entries: DataFrame, expected: DataFrame | None = None) -> None:
+        """Append (source_path, allowed_roles) entries as the next version of each name.
+
+        ``expected`` (source_path, version) are the versions that the caller has
+        seen; if a name has moved on since, nothing is written.
+        """
+        now = self.newest().select("source_path", F.col("version").alias("_now"))
+        if expected is not None:
+            seen = expected.select("source_path", F.col("version").alias("_seen"))
+            if now.join(seen, "source_path").where(F.col("_now") > F.col("_seen")).take(1):
+                raise ValueError("the permissions were changed meanwhile; read them again")
+        told = entries.join(now, "source_path", "left").select(
+            "source_path", "allowed_roles", (F.coalesce("_now", F.lit(0)) + 1).alias("version"), F.lit(uuid.uuid4().hex).alias("writer")
+        )
+        told.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(self.path)
 
     def write(self, permissions: dict[str, Sequence[str]]) -> None:
+        """Set all permissions: names that are not given lose theirs."""
         for roles in permissions.values():
             for role in roles:
                 check_role(role)
-        text = json.dumps({k: list(v) for k, v in permissions.items()}, ensure_ascii=False)
-        # A new file beside the old ones, which stay in force until it is committed.
-        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("append").text(self.path)
-
-    def grant(self, names: Sequence[str], roles: Sequence[str]) -> None:
-        """Set the roles of some files, leaving those of others."""
-        now = {r["source_path"]: list(r["allowed_roles"]) for r in self.read().collect()}
-        self.write({**now, **{name: sorted(set(roles)) for name in names}})
+        given = self.spark.createDataFrame([(k, list(v)) for k, v in permissions.items()], ACL_SCHEMA)
+        gone = self.read().join(given, "source_path", "left_anti").select(
+            "source_path", F.lit(None).cast("array<string>").alias("allowed_roles")
+        )
+        self.append(given.unionByName(gone))
+
+    def grant(self, names: Sequence[str] | DataFrame, roles: Sequence[str]) -> None:
+        """Set the roles of some files (names, or rows with source_path), leaving those of others."""
+        held = sorted({check_role(r) for r in roles})
+        if not isinstance(names, DataFrame):
+            names = self.spark.createDataFrame([(n,) for n in names], "source_path string")
+        given = F.array(*[F.lit(r) for r in held]).cast("array<string>")
+        self.append(names.select("source_path").distinct().withColumn("allowed_roles", given))
 
 
 def upload_contracts(

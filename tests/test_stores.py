@@ -88,6 +88,65 @@ def test_index_reuse_and_checks(spark, folder):
     assert status["health"] == "degraded" and status["ready_document_count"] == 3
 
 
+def everything(folder):
+    return sorted(str(p.relative_to(folder)) for p in folder.rglob("*"))
+
+
+def test_incremental_index(spark, folder):
+    """An unchanged folder writes nothing, one new file parses one file, and searches equal those of a fresh index."""
+    source, log = folder / "in", folder / "parsed"
+    source.mkdir()
+    for i in range(4):
+        (source / f"p{i}.pdf").write_bytes(f"%PDF {i}".encode())
+    (source / "a.md").write_text("# 甲\n住宿 500 元。", encoding="utf-8")
+
+    def parser(data):
+        with log.open("a") as out:
+            out.write("x\n")
+        return [f"text of {data.decode()} with words {len(data)}"], ""
+
+    def refresh(store):
+        before = len(log.read_text().split()) if log.exists() else 0
+        meta = store.refresh(files.list_files(spark, str(source)), lambda new: files.parse_files(new, pdf_parser=parser))
+        return meta, len(log.read_text().split()) - before
+
+    store = stores.IndexStore(spark, str(folder / "index"))
+    first, parsed = refresh(store)
+    assert (first["document_count"], first["chunk_count"], parsed) == (5, 5, 4)
+    held = everything(folder / "index")
+    again, parsed = refresh(store)
+    assert again == first and parsed == 0 and everything(folder / "index") == held
+    (source / "p4.pdf").write_bytes(b"%PDF four")
+    second, parsed = refresh(store)
+    assert parsed == 1 and second["chunk_count"] == 6 and len(second["segments"]) == 2
+    (source / "p1.pdf").write_bytes(b"%PDF other")  # changed: its segment is written again, the rest of it unparsed
+    (source / "p2.pdf").unlink()
+    third, parsed = refresh(store)
+    assert parsed == 1 and third["chunk_count"] == 5 and first["build"] not in third["segments"]
+    fresh = stores.IndexStore(spark, str(folder / "fresh"))
+    refresh(fresh)
+    asked = spark.createDataFrame([("a", "text words 500 住宿"), ("b", "other four")], "query_id string, question string")
+    rows = lambda s: sorted(
+        (r["query_id"], r["rank"], r["chunk_id"], r["vector_score"], r["bm25_score"])
+        for r in retrieval.hybrid(s.search_index(), asked, top_k=5).collect()
+    )
+    assert rows(store) == rows(fresh) and len(rows(store)) == 10
+
+
+def test_interleaved_grants_both_hold(spark, folder):
+    one, two = (stores.PermissionStore(spark, str(folder / "acl")) for _ in range(2))
+    one.write({"a.md": ["legal"], "b.md": ["legal"]})
+    seen = spark.createDataFrame([("a.md", 1)], "source_path string, version bigint")
+    one.grant(["a.md"], ["business"])
+    two.grant(["b.md"], ["employee"])
+    held = {r["source_path"]: r["allowed_roles"] for r in one.read().collect()}
+    assert held == {"a.md": ["business"], "b.md": ["employee"]}
+    with pytest.raises(ValueError, match="meanwhile"):
+        two.append(spark.createDataFrame([("a.md", ["legal"])], stores.ACL_SCHEMA), expected=seen)
+    one.write({"b.md": ["legal"]})
+    assert [r["source_path"] for r in two.read().collect()] == ["b.md"] and two.log().count() == 6
+
+
 def test_legacy_documents(spark, folder):
     (folder / "d.json").write_text(json.dumps([{"document_id": "d", "title": "t", "content": "x", "source_path": "d.md"}]))
     row = stores.read_documents_json(spark, str(folder / "d.json")).first()
