@@ -7,14 +7,16 @@ drops them, and what markup itself declares to be no article (menus, headers,
 footers, sidebars, forms, adverts, notices, comments), and returns the blocks
 that are left.
 
-Paragraphs and headings of an article are never template, however often a site
-repeats them: a quoted passage or a copied article is still its text.
+Paragraphs and headings of an article are never template by themselves, however
+often a site repeats them: a quoted passage or a copied article is still its
+text. A box in an article goes if it stands around many different articles.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,19 +49,32 @@ NEVER = frozenset(
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-def _labels(words: str) -> re.Pattern[str]:
-    """Words of class and id attributes, between white space, hyphens and underscores."""
-    return re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
-
-
-NOISE = _labels(
-    r"ads?|ad(?:box|unit|slot|banner)|advert\w*|adsense|banner\w*|breadcrumbs?|comments?(?:list|thread|area|box|form)?|consent|"
-    r"cookies?\w*|disclaimer|disqus|footer|foot|menu|modal|nav\w*|newsletter\w*|notices?|notification|pagination|pager|popup|"
-    r"promo\w*|related|recommended|respond|replies|share|sharing|shoutbox|sidebar\w*|signup|skip-link|social|sponsor\w*|"
-    r"subscribe|toolbar|widgets?|login|search"
+#: Words that name page furniture, and words that only say what kind of element it is. A class or id is furniture if
+#: it has one of the first and nothing beyond the two: ``share-bar`` is, ``share-price`` and ``navy-theme`` are not.
+NOISE = frozenset(
+    "ad ads adbox adslot adunit adbanner advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs "
+    "comment comments commentlist commentform consent cookie cookies disclaimer disqus footer menu modal nav navbar "
+    "navigation newsletter notice notices notification pagination pager popup promo recommended related respond replies "
+    "share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets login search".split()
+)
+KIND = frozenset(
+    "area articles bar block bottom box button buttons container content field form group inner items js left link links "
+    "list main mobile outer page panel posts primary results right row secondary section site slot stories thread top unit "
+    "wrap wrapper".split()
 )
 #: Only outside of an article, where such a block holds its title.
-PAGE_HEAD = _labels(r"header|masthead")
+PAGE_HEAD = frozenset("header masthead".split())
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+LABEL = re.compile(r"[a-z]+")
+
+
+def named(labels: str, words: frozenset[str]) -> bool:
+    """Whether a class or id consists of such words and of kinds of elements."""
+    for label in labels.lower().split():
+        parts = LABEL.findall(label)
+        if any(p in words for p in parts) and all(p in words or p in KIND for p in parts):
+            return True
+    return False
 
 
 @dataclass
@@ -69,9 +84,9 @@ class Node:
     noise: bool
     main: bool
     digest: xxhash.xxh64 = field(default_factory=xxhash.xxh64)
+    prose: bool = False  #: a paragraph or heading of an article, or inside one
     own: int = 0  #: hash of the whole subtree, once closed
     length: int = 0
-    blocks: list[int] = field(default_factory=list)
 
 
 @dataclass
@@ -89,6 +104,7 @@ class Page:
         self.blocks: list[Block] = []
         self.nodes: list[Node] = []
         self.open: list[Node] = [Node("", None, False, False)]
+        self.count: Counter[str] = Counter()  # open elements by tag
         self.block: Block | None = None
         self._read(source)
         while len(self.open) > 1:
@@ -121,10 +137,10 @@ class Page:
     def _start(self, tag: str, attrs: str) -> None:
         if tag in BLOCKS:
             self.block = None
-            if any(n.tag == "p" for n in self.open):  # an open paragraph ends, with what is open inside it
+            if self.count["p"]:  # an open paragraph ends, with what is open inside it
                 self._end("p")
             rivals = CLOSED_BY.get(tag, ())
-            for node in reversed(self.open):
+            for node in reversed(self.open) if any(self.count[r] for r in rivals) else ():
                 if node.tag in rivals:
                     self._end(node.tag)
                     break
@@ -142,25 +158,29 @@ class Page:
         noise = (
             parent.noise or tag in NEVER or role in ROLES or "hidden" in re.split(r"[\s=]", attrs.lower())
             or tag not in ("html", "body", "article", "main") and bool(labels.strip()) and (
-                bool(NOISE.search(labels)) or not parent.main and bool(PAGE_HEAD.search(labels))
+                named(labels, NOISE) or not parent.main and named(labels, PAGE_HEAD)
             )
+            or bool(HIDDEN.search(given.get("style", "")))
             or tag == "article" and bool(re.search(r"comment|reply", labels, re.I))
             or tag == "header" and not parent.main
         )
-        node = Node(tag, parent, noise, main and not noise)
+        prose = parent.prose or main and tag in PROSE
+        node = Node(tag, parent, noise, main and not noise, prose=prose)
         node.digest.update(tag.encode() + b"\x00")
         self.open.append(node)
+        self.count[tag] += 1
         self.nodes.append(node)
 
     def _end(self, tag: str) -> None:
         if tag in BLOCKS:
             self.block = None
-        if any(n.tag == tag for n in self.open[1:]):
+        if self.count[tag]:
             while self._close() != tag:
                 pass
 
     def _close(self) -> str:
         node = self.open.pop()
+        self.count[node.tag] -= 1
         node.own = node.digest.intdigest() - (1 << 63)
         parent = self.open[-1]
         parent.digest.update(node.own.to_bytes(8, "big", signed=True))
@@ -169,30 +189,25 @@ class Page:
             self.block = None
         return node.tag
 
-    def candidates(self) -> dict[int, int]:
-        """Hashes of subtrees with text that a template could hold: not declared noise, no prose and no ancestor of prose in an article."""
-        held: set[int] = set()
-        for block in self.blocks:
-            node = block.node
-            prose = False
-            while node is not None and node.tag:
-                prose = prose or node.tag in PROSE
-                if node.main and prose or node.tag in ("article", "main", "body", "html"):
-                    held.add(id(node))
-                node = node.parent
-        return {n.own: n.length for n in self.nodes if not n.noise and n.length and id(n) not in held}
+    def candidates(self) -> set[int]:
+        """Hashes of subtrees with text that a template could hold: not declared noise, no article and no prose of one."""
+        return {
+            n.own for n in self.nodes
+            if not n.noise and n.length and not n.prose and n.tag not in ("article", "main", "body", "html")
+        }
 
     def article(self, template: frozenset[int] = frozenset()) -> list[str]:
         """Texts of the blocks that are left: of articles if the page has any, else of the whole body."""
         kept: list[tuple[Block, str]] = []
+        gone: set[int] = set()  # nodes within a template; parents come before their children
+        for node in self.nodes if template else ():
+            if node.own in template or id(node.parent) in gone:
+                gone.add(id(node))
         for block in self.blocks:
             text = " ".join("".join(block.pieces).split())
             if not text or block.noise:
                 continue
-            node = block.node
-            while template and node is not None and node.own not in template:
-                node = node.parent
-            if not template or node is None:
+            if id(block.node) not in gone:
                 kept.append((block, text))
         within = [t for b, t in kept if b.main]
         return within if any(n.main for n in self.nodes) else [t for _, t in kept]
@@ -227,12 +242,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def templates(pages: DataFrame, min_pages: int, min_share: float, spread: int = 16) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int, spread: int = 16) -> DataFrame:
     """Template subtrees of each page: page, drop (array of hashes); pages without one are missing.
 
     A subtree is template if it stands around at least ``min_pages`` different
-    main texts of its host, and around ``min_share`` of all of them. Counts
-    combine map-side; the join that follows is salted, so that no host or
+    main texts of its host, however large that is. Counts combine map-side; the join that follows is salted, so that no host or
     subtree is gathered in one task.
     """
     source = pages.select(
@@ -243,9 +257,7 @@ def templates(pages: DataFrame, min_pages: int, min_share: float, spread: int =
     )
     each = found.groupBy("host", "subtree", "body").agg(F.lit(1).alias("one"))
     often = each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    sites = found.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("bodies"))
-    known = often.join(sites, "host").where(F.col("n") >= F.col("bodies") * min_share)
-    known = known.select(F.col("host").alias("_h"), F.col("subtree").alias("_t"), salts(spread).alias("_s"))
+    known = often.select(F.col("host").alias("_h"), F.col("subtree").alias("_t"), salts(spread).alias("_s"))
     seen = found.select("page", "host", "subtree", salt(spread, "page").alias("salt")).distinct()
     hit = seen.join(
         known, (F.col("host") == F.col("_h")) & (F.col("subtree") == F.col("_t")) & (F.col("salt") == F.col("_s"))
@@ -253,7 +265,7 @@ def templates(pages: DataFrame, min_pages: int, min_share: float, spread: int =
     return hit.groupBy("page").agg(F.collect_set("subtree").alias("drop"))
 
 
-def main_texts(pages: DataFrame, min_pages: int = 8, min_share: float = 0.1) -> DataFrame:
+def main_texts(pages: DataFrame, min_pages: int = 8) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars (code points).
 
     Blocks keep the page's order and are joined by one space; white space inside
@@ -262,7 +274,7 @@ def main_texts(pages: DataFrame, min_pages: int = 8, min_share: float = 0.1) ->
     subtree that is template on any of them is dropped from all. A null page_id
     loses only what the markup declares. Other columns are ignored.
     """
-    drop = saved(templates(pages, min_pages, min_share), "html-templates")
+    drop = saved(templates(pages, min_pages), "html-templates")
     source = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     both = source.join(drop, F.col("page_id") == F.col("page"), "left").select("page_id", "url", "html", "drop")
     texts = both.mapInArrow(_texts, "page_id bigint, url string, text string")
