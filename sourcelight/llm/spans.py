@@ -1,17 +1,17 @@
-"""Removal of repeated passages by sliding spans of short pieces.
-
-Texts are cut where a sentence ends and, within a sentence, after the words
-whose hash (with the word before) is the least of some eight neighbours, so
-pieces have at most eight words, about four and a half on average. Where a cut falls depends on the
-words around it alone: in a passage that two texts share, cuts agree from eight
-words after its start, or from the first sentence's start, wherever it stands. A
-span is a run of at least three consecutive pieces with at least 15 words: the
-shortest one that starts at a piece and the shortest one that ends at it, so a
-repeated passage is covered up to the outermost common cuts. Spans are hashed
-and joined globally, and pieces covered by any span that is not the first of
-its hash are removed. The first is the one with the smallest doc_id, then
-position. In scripts without spaces between words, two characters count as one
-word.
+"""Removal of repeated passages by sliding spans of sentences.
+
+Sentences end at their marks and at line ends, and are the units that go or
+stay. Only a sentence of more than 40 words is cut further, after the words
+whose hash (with the word before) is the least of some eight neighbours: where
+such a cut falls depends on the words around it alone, so cuts agree in any
+passage that two texts share. A span is a run of at least three consecutive
+units with at least 15 words, where a word of a cut sentence counts half: within
+one of those a span has 30 words. Spans are the shortest one that starts at a
+unit and the shortest one that ends at it, so a repeated passage is covered up
+to the outermost whole sentences (or common cuts). Spans are hashed and joined
+globally, and units covered by any span that is not the first of its hash are
+removed. The first is the one with the smallest doc_id, then position. In
+scripts without spaces between words, two characters count as one word.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sourcelight.llm.common import saved, whole_text
 
-SENTENCES, WORDS, WINDOW = 3, 15, 8
+SENTENCES, WORDS, WINDOW, LONG = 3, 15, 8, 40
 #: Thai to Burmese, Khmer, CJK with its signs, kana and wide forms: written without spaces, each character is cut off.
 _SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uffdc\U00020000-\U0003134f"
 SINGLE = re.compile(f"[{_SINGLE}]")
@@ -68,18 +68,29 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
-def _read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: where it ends with the white space after it, its hash, and whether a piece ends there."""
+def _read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: where it ends with the white space after it, its hash, whether a unit ends there, and its weight.
+
+    Weights are quarters of a word: half for a character of a script without
+    spaces, and half of that again in a sentence that is cut.
+    """
     words = WORD.findall(text)
     n = len(words)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
     lengths = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lengths) + (len(text) - int(lengths.sum()))
     hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
     stops = np.array([m.end() for m in END.finditer(text)], np.int64)
     sentence = np.searchsorted(stops, ends)
     same = sentence[1:] == sentence[:-1]
+    weight = np.full(n, 4, np.int64)
+    if SINGLE.search(text):
+        weight[[SINGLE.match(w) is not None for w in words]] = 2
+    starts = np.flatnonzero(np.concatenate([[True], ~same]))
+    size = np.add.reduceat(weight, starts)
+    long = np.repeat(size > 4 * LONG, np.diff(np.append(starts, n)))
+    weight[long] //= 2
     value = hashes.copy()
     value[1:] += _mixed(hashes[:-1]) * same
     value = _mixed(value)
@@ -93,42 +104,39 @@ def _read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         most[WINDOW - 1 : n] = least * (sentence[WINDOW - 1 :] == sentence[: 1 - WINDOW])
         for s in (1, 2, 4):
             most = np.maximum(most[s:], most[:-s])
-        cut = most == value
+        cut = (most == value) & long
     cut[:-1] |= ~same
     cut[-1] = True
-    return ends, hashes, cut
+    return ends, hashes, cut, weight
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Start and end of each piece; together they cover the text."""
-    ends, _, cut = _read(text)
+    """Start and end of each unit; together they cover the text."""
+    ends, _, cut, _ = _read(text)
     stops = ends[cut].tolist() if len(ends) else [len(text)] if text else []
     return list(zip([0, *stops[:-1]], stops, strict=True)) if stops else []
 
 
 def _spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     """All spans in text order: first piece << 32 | last piece, and the hash of the words."""
-    _, hashes, cut = _read(text)
+    _, hashes, cut, weight = _read(text)
     at = np.concatenate([[0], np.flatnonzero(cut) + 1])  # words before each piece
     n = len(at) - 1
     if n < SENTENCES:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if SINGLE.search(text):
-        halves = np.cumsum([0, *(1 if SINGLE.match(w) else 2 for w in WORD.findall(text))])[at]
-    else:
-        halves = at * 2
+    upto = np.concatenate([[0], np.cumsum(weight)])[at]
     piece = np.arange(n)
     # last piece of the shortest span from each start, first piece of the shortest span to each end
-    last = np.maximum(np.searchsorted(halves, halves[:n] + 2 * WORDS) - 1, piece + SENTENCES - 1)
-    first = np.minimum(np.searchsorted(halves, halves[1:] - 2 * WORDS, side="right") - 1, piece - SENTENCES + 1)
+    last = np.maximum(np.searchsorted(upto, upto[:n] + 4 * WORDS) - 1, piece + SENTENCES - 1)
+    first = np.minimum(np.searchsorted(upto, upto[1:] - 4 * WORDS, side="right") - 1, piece - SENTENCES + 1)
     ahead = last < n
     back = (first >= 0) & (last[first] != piece)
     pairs = np.sort(np.concatenate([(piece << 32 | last)[ahead], (first << 32 | piece)[back]]))
     i, j = pairs >> 32, pairs & 0xFFFFFFFF
     power, inverse = _powers(len(hashes))
-    upto = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * power[: len(hashes)], out=upto[1:])
-    return pairs, _mixed((upto[at[j + 1]] - upto[at[i]]) * inverse[at[i]]).view(np.int64)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
+    return pairs, _mixed((sums[at[j + 1]] - sums[at[i]]) * inverse[at[i]]).view(np.int64)
 
 
 def spans(text: str, cuts: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
@@ -189,12 +197,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
-    """Texts without pieces that an earlier place already holds: doc_id, text, n_sentences, n_removed (both of pieces), removed_chars.
+    """Texts without sentences that an earlier place already holds: doc_id, text, n_sentences, n_removed (both of units), removed_chars.
 
     Null text counts as empty; rows equal in doc_id and text are cut alike, as one document.
-    A null doc_id is left as it is (it comes before all others). Rows that share
+    Rows of a null doc_id lose only what their own text repeats, and no other document loses what they hold. Rows that share
     a doc_id but not the text are cut by each other's repeats. Texts of fewer
-    than three pieces or 15 words have no span. Only doc_id and text are read.
+    than three sentences or 15 words have no span. Only doc_id and text are read.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     later = repeated_spans(rows)
