@@ -587,6 +587,55 @@ def test_packing(spark, given, odd, none):
     assert packing.pack_documents(none, queries.tokenizer_files()).count() == 0
 
 
+def test_labels_are_whole_words(spark):
+    """Blocks whose names only begin like page furniture keep their text; hidden blocks and furniture lose it."""
+    keep = ["class='navy-theme'", "class='share-price'", "class='cookie-recipe'", "id='related-work'", "class='social-history'",
+            "class='search-results-analysis'"]
+    drop = ["class='share-bar'", "style='color:red; display: none'", "id='cookie-banner'", "class='x related-posts'", "class='navbar'"]
+    rows = [(i, "http://a.b/", page("x", f"<div {k}><p>Body text here.</p></div>")) for i, k in enumerate(keep + drop)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(
+        spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: "Body text here." if i < len(keep) else "" for i in range(len(rows))}
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for close in ("</div>", ""):
+        source = "<article>" + "<div>x" * 50_000 + close * 50_000 + "<p>end"
+        started = time.perf_counter()
+        read = html_text.Page(source)
+        read.candidates()
+        assert len(read.article(frozenset({1}))) == 50_001
+        assert time.perf_counter() - started < 10  # quadratic work takes minutes
+
+
+def test_templates_brute_force(spark):
+    """Boxes, some of them in articles, go from hosts where they stand around eight different texts, by a plain count."""
+    rng = random.Random(8)
+    boxes = [f"<div><b>box {i}</b><p>line {i}</p></div>" for i in range(6)]
+    rows = []
+    for i in range(150):
+        chosen = [b for j, b in enumerate(boxes) if rng.random() < 0.05 * (j + 1)]
+        rows.append((i, f"http://h{i % 3}.org/{i}", page("n", f"<p>own {i % 40}</p>{''.join(chosen)}")))
+    odd = [(None, None, None), (500, "http://h0.org/", page("n", "<p>z</p>")), (500, "http://h0.org/", page("n", "<p>z</p>"))]
+    shape = "page_id bigint, url string, html string, host string, page bigint, text string"
+    pages = spark.createDataFrame([(*r, "x", 1, "y") for r in rows + odd], shape)
+    around = defaultdict(set)
+    for i, url, source in rows:
+        for j, box in enumerate(boxes):
+            if box in source:
+                around[url.split("/")[2], j].add(" ".join(html_text.Page(source).article()))
+    got = defaultdict(list)
+    for r in html_text.main_texts(pages).collect():
+        got[r["page_id"]].append(r["text"])
+    for i, url, source in rows:
+        left = [f"box {j} line {j}" for j, b in enumerate(boxes) if b in source and len(around[url.split("/")[2], j]) < 8]
+        assert got[i] == [" ".join([f"own {i % 40}", *left])]
+    assert got[None] == [""] and got[500] == ["z", "z"]
+    assert any(len(v) >= 8 for v in around.values()) and any(len(v) < 8 for v in around.values())
+
+
 # --- repeated passages ----------------------------------------------------------------
 
 
@@ -619,6 +668,31 @@ def test_spans_brute_force(spark, given):
         assert (r["n_sentences"], r["n_removed"]) == (len(cuts), len(dead))
 
 
+def test_spans_of_whole_sentences(spark):
+    """Against a plain count of all runs of three or more sentences with 15 words, cut by a rule of its own."""
+    rng = random.Random(4)
+    pool = [" ".join(rng.choices("alpha beta gamma delta eta".split(), k=rng.randint(1, 12))).capitalize() + "." for _ in range(25)]
+    rows = []
+    for i in range(60):
+        told = [rng.choice(pool) if rng.random() < 0.2 else f"Own {i} {j} words here." for j in range(rng.randint(0, 12))]
+        at = rng.randint(0, len(pool) - 5)
+        told += pool[at : at + rng.randint(0, 5)]
+        rows.append((i, " ".join(told), "en", "a"))
+    first, runs = {}, {}
+    for i, text, *_ in rows:
+        parts = [p for p in re.split(r"(?<=[.]) ", text) if p]
+        runs[i] = parts, [(a, b, " ".join(parts[a:b]).lower()) for a in range(len(parts)) for b in range(a + 3, len(parts) + 1)
+                          if len(" ".join(parts[a:b]).split()) >= 15]
+        for a, b, key in runs[i][1]:
+            first.setdefault(key, (i, a))
+    got = {r["doc_id"]: r for r in spans.drop_repeated_passages(docs_of(spark, rows)).collect()}
+    for i, (parts, found) in runs.items():
+        dead = {n for a, b, key in found if first[key] != (i, a) for n in range(a, b)}
+        assert got[i]["text"].split() == " ".join(p for n, p in enumerate(parts) if n not in dead).split()
+        assert (got[i]["n_sentences"], got[i]["n_removed"]) == (len(parts), len(dead))
+    assert sum(r["n_removed"] for r in got.values()) > 20
+
+
 def test_spans_within_long_sentences(spark):
     """A passage goes wherever it starts in a sentence without ends, also in scripts without spaces; all but words at its ends."""
     rng = random.Random(10)
