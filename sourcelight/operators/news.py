@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sourcelight.functions import dates, html
 from sourcelight.functions.text import strip
 from sourcelight.rules import news as N
+from sourcelight.session import stored
 
 ITEM = ("title", "summary", "published", "link", "source", "category", "image", "image_kind", "region")
 
@@ -134,7 +135,7 @@ def parse_releases(payloads: DataFrame) -> DataFrame:
     """News rows of release lists. Input: repo, source, payload (JSON array text)."""
     schema = "array<struct<name:string,tag_name:string,html_url:string,body:string,published_at:string,created_at:string>>"
     rows = payloads.select(
-        "repo", "source", F.explode(F.slice(F.from_json("payload", schema), 1, N.RELEASE_ITEMS)).alias("r")
+        "repo", "source", F.posexplode(F.slice(F.from_json("payload", schema), 1, N.RELEASE_ITEMS)).alias("release_no", "r")
     )
 
     def pick(*names: str) -> Column:
@@ -149,6 +150,8 @@ def parse_releases(payloads: DataFrame) -> DataFrame:
         .withColumn("link", pick("html_url"))
         .where((F.col("_title") != "") & F.col("link").rlike("^https?://"))
         .select(
+            "repo",
+            "release_no",
             F.concat("repo", F.lit(" · "), "_title").alias("title"),
             F.when(text != "", text).otherwise(fallback).alias("summary"),
             dates.news_date(pick("published_at", "created_at")).alias("published"),
@@ -205,13 +208,66 @@ def parse_listing(pages: DataFrame, base: str, path_prefix: str, source: str, de
         .withColumn("region", F.lit(region))
     )
     first = _items_per(rows, "link", [F.asc("page_id"), F.asc("link_no")], 1)
-    return _items_per(first, "source", [F.desc("published"), F.asc("link_no")], N.LISTED_ITEMS).select(*ITEM)
+    return _items_per(first, "source", [F.desc("published"), F.asc("page_id"), F.asc("link_no")], N.LISTED_ITEMS).select(*ITEM)
 
 
 def _host(url: str) -> str:
     return url.split("//", 1)[-1].split("/", 1)[0]
 
 
+# --- all sources ---------------------------------------------------------------------
+
+
+def union_news(feeds: DataFrame, releases: DataFrame, listed: DataFrame) -> DataFrame:
+    """All sources as one table of items with ``item_id``, a number that every run gives an item anew.
+
+    ``feeds`` and ``releases`` are the rows of ``parse_feeds`` and
+    ``parse_releases``, ``listed`` those of any number of ``parse_listing``.
+    The id is a digest of source and link; an item that several sources list
+    under the same link and source is one item, the newest of its rows.
+    """
+    parts = [feeds.select(*ITEM), releases.select(*ITEM), listed.select(*ITEM)]
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    newest = F.max_by(F.struct(*[c for c in ITEM if c not in ("source", "link")]), F.struct("published", "title", "summary"))
+    once = whole.groupBy("source", "link").agg(newest.alias("n")).select("source", "link", "n.*")
+    digest = F.sha2(F.concat_ws("|", "source", "link"), 256)
+    return once.withColumn("item_id", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
+
+
+def source_failures(feeds: DataFrame, payloads: DataFrame, listings: DataFrame) -> DataFrame:
+    """(source, reason) of every input that gives no items because it cannot be read; the others go on without it.
+
+    Inputs: source and content (feeds), payload (releases), html (listings).
+    """
+    bad_feed = F.col("content").isNull() | _ill_formed(F.col("content"))
+    list_of = F.from_json("payload", "array<struct<html_url:string>>")
+    bad_payload = F.col("payload").isNull() | list_of.isNull()
+    parts = [
+        feeds.where(bad_feed).select("source", F.lit("feed is not well-formed").alias("reason")),
+        payloads.where(bad_payload).select("source", F.lit("release list is not a JSON array").alias("reason")),
+        listings.where(F.coalesce(strip(F.col("html")), F.lit("")) == "").select("source", F.lit("page is empty").alias("reason")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _ill_formed(xml: Column) -> Column:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    return F.from_xml(xml, "_corrupt_record string, channel string", options)["_corrupt_record"].isNotNull()
+
+
+def well_formed(feeds: DataFrame) -> DataFrame:
+    """Feeds that an XML reader accepts."""
+    return feeds.where(F.col("content").isNotNull() & ~_ill_formed(F.col("content")))
+
+
+def latest_news(feeds: DataFrame, payloads: DataFrame, listed: DataFrame, pages: DataFrame) -> DataFrame:
+    """The whole path: parse, one union of all sources, selection, then metadata of the selected items' pages alone."""
+    items = stored(union_news(parse_feeds(well_formed(feeds)), parse_releases(payloads), listed), label="news")
+    chosen = stored(select_news(items), label="chosen-news")  # at most as many rows as are shown
+    own = pages.join(F.broadcast(chosen.select(F.col("link").alias("url"))), "url", "left_semi")
+    return enrich(chosen, page_metadata(own))
+
+
 # --- page metadata and enrichment ------------------------------------------------------
 
 

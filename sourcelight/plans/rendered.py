@@ -182,7 +182,74 @@ def news_enriched(spark, sf) -> DataFrame:
     return news.enrich(items, news.page_metadata(pages)).select("page_id", "summary", "image", "image_kind")
 
 
+#: name, region and site of the feeds; every page stands for one feed, release list or list page
+FEEDS = (
+    ("OpenAI", "国际", "openai.com"), ("Anthropic", "国际", "anthropic.com"), ("Google AI", "国际", "blog.google"), ("量子位", "国内", "qbitai.com"),
+    ("InfoQ 中文", "国内", "infoq.cn"), ("机器之心", "国内", "jiqizhixin.com"),
+)
+ENTRIES, RELEASES = 6, 3  # more than are read of each
+
+
+def news_sources(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Feeds, release lists, list pages and article pages rendered from ``pages``; some of each cannot be read."""
+    ids = corpus.table(spark, sf, "pages").select("page_id")
+    pid, n = F.col("page_id").cast("string"), F.col("page_id")
+    day = F.lpad((n % 28 + 1).cast("string"), 2, "0")
+    name, region, site = (
+        F.get(X.literal_array([f[i] for f in FEEDS]), (F.floor(n / 4) % len(FEEDS)).cast("int")) for i in range(3)
+    )
+    link = lambda j: F.concat(F.lit("https://www."), site, F.lit("/post/"), pid, F.lit(f"-{j}"))
+    rss = F.concat(F.lit("<rss><channel>"), *[
+        F.concat(F.lit("<item><title>Post "), pid, F.lit(f" {j}</title><link>"), link(j), F.lit("</link><description><![CDATA[<p>Told "), pid,
+                 F.lit(f" &amp; {j}</p>]]></description><pubDate>Tue, "), day, F.lit(" Sep 2026 08:00:00 GMT</pubDate></item>"))
+        for j in range(ENTRIES)
+    ], F.lit("</channel>"), F.when(n % 5 == 0, "").otherwise("</rss>"))
+    atom = F.concat(F.lit("<feed>"), *[
+        F.concat(F.lit("<entry><title>Entry "), pid, F.lit(f" {j}</title><link rel='alternate' href='"), link(j), F.lit("'/><summary></summary><updated>2026-08-"),
+                 day, F.lit("T01:00:00Z</updated></entry>"))
+        for j in range(2)
+    ], F.lit("</feed>"))
+    feeds = ids.where(n % 4 < 2).select(
+        n.alias("feed_id"), F.when(n % 4 == 0, rss).otherwise(atom).alias("content"), name.alias("source"), F.lit("公司动态").alias("category"),
+        F.lit("mark").alias("image"), region.alias("region"), F.lit(None).cast("string").alias("keywords"), F.lit(False).alias("use_entry_source"),
+    )
+    releases = F.concat(F.lit("["), F.concat_ws(",", *[
+        F.concat(F.lit('{"name":"v'), pid, F.lit(f'.{j}","html_url":"https://github.com/o/r'), pid, F.lit(f'/{j}","body":"","published_at":"2026-07-'), day, F.lit('"}'))
+        for j in range(RELEASES)
+    ]), F.lit("]"))
+    payloads = ids.where(n % 4 == 2).select(
+        F.concat(F.lit("o/r"), pid).alias("repo"), F.lit("GitHub").alias("source"),
+        F.when(n % 5 == 0, '{"message":').otherwise(releases).alias("payload"),
+    )
+    listing = F.concat(
+        F.lit('<a href="/news/'), pid, F.lit('"><h3>Listed '), pid, F.lit("</h3><time>Sep "), (n % 28 + 1).cast("string"),
+        F.lit(', 2026</time><p>One</p></a><a href="/other"><h3>x</h3><time>Sep 30, 2026</time></a>'),
+    )
+    listings = ids.where(n % 4 == 3).select("page_id", F.when(n % 5 == 0, " ").otherwise(listing).alias("html"), F.lit("DeepSeek 官方").alias("source"))
+    articles = ids.where(n % 4 < 2).select(
+        F.explode(F.array(*[link(j) for j in range(0, ENTRIES, 2)])).alias("url"), pid.alias("p")
+    ).select("url", F.concat(
+        F.lit('<meta property="og:image" content="/img/'), "p", F.lit('.png"><meta name="description" content="Page of '), "p", F.lit('">')
+    ).alias("html"))
+    return feeds, payloads, listings, articles
+
+
+def news_latest(spark, sf) -> DataFrame:
+    """Feeds, release lists and list pages of one run, united, selected and enriched."""
+    feeds, payloads, listings, articles = news_sources(spark, sf)
+    listed = news.parse_listing(listings, "https://www.deepseek.com", "/news/", "DeepSeek 官方", "公司动态", "国际")
+    return news.latest_news(feeds, payloads, listed, articles).select(
+        "position", "phase", "source", "title", "published", "summary", "image", "image_kind"
+    )
+
+
+def news_failures(spark, sf) -> DataFrame:
+    feeds, payloads, listings, _ = news_sources(spark, sf)
+    return news.source_failures(feeds, payloads, listings)
+
+
 QUERIES = {
+    "news_latest": news_latest, "news_failures": news_failures,
     "contract_status": contract_status, "route_policy": route_policy, "followup_policy": followup_policy,
     "policy_metadata": policy_metadata, "news_enriched": news_enriched,
 }
@@ -262,7 +329,43 @@ def oracle_sql() -> dict[str, str]:
     ])
     lines = "list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '\\s', '', 'g')), lambda x: x <> '')"
     sites = [*N.PUBLISHERS, "other.example"]
+    feed = lambda i: _case(f"(page_id // 4) % {len(FEEDS)}", [_q(f[i]) for f in FEEDS])
+    day = "lpad((page_id % 28 + 1)::VARCHAR, 2, '0')"
+    post = "'https://www.' || site || '/post/' || page_id || '-' || j"
     return {
+        "news_failures": f"""WITH a AS (SELECT *, page_id % 4 AS kind, {feed(0)} AS name FROM pages WHERE page_id % 5 = 0)
+          SELECT CASE kind WHEN 0 THEN name WHEN 2 THEN 'GitHub' ELSE 'DeepSeek 官方' END AS source,
+            CASE kind WHEN 0 THEN 'feed is not well-formed' WHEN 2 THEN 'release list is not a JSON array' ELSE 'page is empty' END AS reason
+          FROM a WHERE kind <> 1""",
+        "news_latest": f"""WITH RECURSIVE a AS (SELECT page_id, page_id % 4 AS kind, {day} AS day, {feed(0)} AS name, {feed(1)} AS region, {feed(2)} AS site FROM pages),
+          u AS (
+            SELECT name AS source, region, 'Post ' || page_id || ' ' || j AS title, '2026-09-' || day AS published, {post} AS link,
+              'Told ' || page_id || ' & ' || j AS summary, page_id, j, site FROM a, range(4) AS r(j) WHERE kind = 0 AND page_id % 5 <> 0
+            UNION ALL SELECT name, region, 'Entry ' || page_id || ' ' || j, '2026-08-' || day, {post}, '', page_id, j, site FROM a, range(2) AS r(j) WHERE kind = 1
+            UNION ALL SELECT 'GitHub', '开源', 'o/r' || page_id || ' · v' || page_id || '.' || j, '2026-07-' || day,
+              'https://github.com/o/r' || page_id || '/' || j, 'o/r' || page_id || ' 发布了新版本，点击查看变更说明。', page_id, j, ''
+              FROM a, range(2) AS r(j) WHERE kind = 2 AND page_id % 5 <> 0
+            UNION ALL SELECT 'DeepSeek 官方', '国际', 'Listed ' || page_id, '2026-09-' || day, 'https://www.deepseek.com/news/' || page_id, 'One', page_id, 1, ''
+              FROM (SELECT *, row_number() OVER (ORDER BY day DESC, page_id) AS n FROM a WHERE kind = 3 AND page_id % 5 <> 0) WHERE n <= {N.LISTED_ITEMS}),
+          o AS MATERIALIZED (SELECT *, regexp_replace(lower(title), '[^\\p{{L}}\\p{{Nd}}\\p{{M}}_]+', '', 'g') AS k,
+            row_number() OVER (ORDER BY published DESC, ('0x' || substr(sha256(source || '|' || link), 1, 15))::BIGINT) AS o FROM u),
+          v AS (SELECT *, list_position([{', '.join(map(_q, N.RESERVED_SOURCES))}], source) AS slot, row_number() OVER (PARTITION BY source ORDER BY o) AS nth FROM o),
+          queue AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY p, place, o) AS step FROM (
+            SELECT 1 AS p, 0 AS place, * FROM v WHERE region = '国内' UNION ALL SELECT 2, slot, * FROM v WHERE slot > 0 AND nth = 1
+            UNION ALL SELECT 3, 0, * FROM v UNION ALL SELECT 4, 0, * FROM v)),
+          greedy AS (SELECT 0::BIGINT AS step, []::STRUCT(o BIGINT, k VARCHAR, s VARCHAR, p INT)[] AS taken UNION ALL
+            SELECT q.step, CASE WHEN (CASE q.p WHEN 1 THEN len(list_filter(taken, lambda t: t.p = 1)) < 3 AND len(list_filter(taken, lambda t: t.s = q.source)) = 0
+                WHEN 2 THEN true WHEN 3 THEN len(taken) < 9 AND len(list_filter(taken, lambda t: t.s = q.source)) = 0 ELSE len(taken) < 9 END)
+              AND len(list_filter(taken, lambda t: t.k = q.k)) = 0 AND len(list_filter(taken, lambda t: t.s = q.source)) < 2
+              THEN list_append(taken, {{'o': q.o, 'k': q.k, 's': q.source, 'p': q.p}}) ELSE taken END
+            FROM greedy g JOIN queue q ON q.step = g.step + 1),
+          t AS (SELECT unnest(taken) AS t, generate_subscripts(taken, 1) AS i FROM (SELECT taken FROM greedy ORDER BY step DESC LIMIT 1))
+          SELECT i::INT AS position, t.p AS phase, source, title, published,
+            CASE WHEN summary <> '' THEN summary WHEN j % 2 = 0 THEN 'Page of ' || page_id ELSE '' END AS summary,
+            CASE WHEN site <> '' AND j % 2 = 0 THEN 'https://www.' || site || '/img/' || page_id || '.png' WHEN site <> '' THEN 'mark'
+              WHEN region = '开源' THEN 'https://github.com/o.png?size=480' ELSE '' END AS image,
+            CASE WHEN site <> '' AND j % 2 = 0 THEN 'photo' ELSE 'logo' END AS image_kind
+          FROM t JOIN o ON t.o = o.o""",
         "news_enriched": f"""WITH a AS (SELECT page_id, page_id % 4 AS kind, {_case(f'page_id % {len(sites)}', [_q(x) for x in sites])} AS site FROM pages),
           m AS (SELECT *, site <> 'other.example' AS allowed,
             CASE WHEN kind = 0 THEN 'https://www.' || site || '/img/' || page_id || '.png?a=1&b=2'

@@ -31,3 +31,9 @@ def test_all_document_labels(spark):
     for column in ("title", "sections", "version", "effective_date", "department", "owner"):
         assert any(r[column] for r in rows) and any(not r[column] for r in rows)
     assert any("分类" in r["category"] for r in rows)
+
+
+def test_all_news_phases_occur(spark):
+    rows = rendered.news_latest(spark, "/root/testdata/sf0.01").collect()
+    assert {r["phase"] for r in rows} == {1, 2, 3, 4} and len(rows) == 9
+    assert {r["image_kind"] for r in rows} == {"photo", "logo"} and {"DeepSeek 官方", "GitHub"} <= {r["source"] for r in rows}
