@@ -86,14 +86,18 @@ def source_type(link: Column, source: Column) -> Column:
 
 def news_category(title: Column, text: Column, default: Column) -> Column:
     """First class with a keyword in the title or text."""
-    low = F.lower(F.concat_ws(" ", title, text))
-    out = default
-    for name, words in reversed(N.CATEGORIES):
-        hit = low.contains(words[0])
-        for w in words[1:]:
-            hit = hit | low.contains(w)
-        out = F.when(hit, F.lit(name)).otherwise(out)
-    return out
+
+    def classify(low: Column) -> Column:
+        out = default
+        for name, words in reversed(N.CATEGORIES):
+            hit = low.contains(words[0])
+            for w in words[1:]:
+                hit = hit | low.contains(w)
+            out = F.when(hit, F.lit(name)).otherwise(out)
+        return out
+
+    # In a lambda the text is worked out once, however many words ask for it.
+    return F.get(F.transform(F.array(F.lower(F.concat_ws(" ", title, text))), classify), F.lit(0))
 
 
 def _attribute(tag: Column, name: str) -> Column:
