@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelight.llm.common import new_folder, salt, salts, saved, whole_text, without
+from sourcelight.llm.common import new_folder, salt, salts, saved, whole_text
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -143,11 +143,14 @@ def exact_groups(docs: DataFrame, digest=sha256, spread: int = 16) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each exact text (the largest doc_id), columns unchanged.
 
-    Assumes that doc_id tells texts apart (a doc_id with two texts stays if one of them stays).
+    Rows go by doc_id and text, so other texts of the same doc_id stay.
     """
-    groups = saved(exact_groups(docs).select("doc_id", "kept", "repeats"), "dedup-groups")
-    ids = groups.groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    rest = without(docs, ids.where(~F.col("kept")).select("doc_id"))
+    groups = saved(exact_groups(docs).select("doc_id", "digest", "kept", "repeats"), "dedup-groups")
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest"))
+    digest = sha256(F.coalesce(docs["text"], F.lit("")))
+    gone = gone.hint("merge")
+    same = docs["doc_id"].cast("bigint").eqNullSafe(gone["_gone_id"]) & (digest == gone["_gone_digest"])
+    rest = docs.join(gone, same, "left_anti")
     if groups.where("kept and repeats > 1").isEmpty():
         return rest
     return rest.dropDuplicates(["doc_id", "text"])

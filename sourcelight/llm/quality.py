@@ -123,7 +123,8 @@ def train(
     """Model from at most ``per_label`` documents of each quality, those first in a hash order of doc_id.
 
     Rows whose remainder is 2 are never used, nor unlabelled, null or other
-    labels. The sample bounds the driver's matrices, whatever the tables hold.
+    labels; of rows that share a doc_id, one text is learnt from. The sample
+    bounds the driver's matrices, whatever the tables hold.
     """
     known = labels.select("doc_id", F.col("quality").alias("label")).where(
         F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()
@@ -134,6 +135,8 @@ def train(
     ]
     sample = picked[0].unionByName(picked[1]).toDF("_id", "label").withColumn("place", F.xxhash64("_id"))
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    # One row per id and label, whatever a table repeats; the least hash combines before the shuffle.
+    rows = rows.groupBy("_id", "label", "place").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     told = rows.select("text", "label", "place").mapInArrow(
         _sampled_counts, "terms array<int>, counts array<float>, label int, place bigint"
     ).toArrow().combine_chunks()
@@ -142,8 +145,7 @@ def train(
     terms, values = (told[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("terms", "counts"))
     found, place = told["label"].to_numpy(), told["place"].to_numpy()
     weight = np.array([values[x:y].sum() for x, y in zip(ends[:-1], ends[1:], strict=True)])
-    # a doc_id that many rows share may bring more rows than were sampled
-    order = np.lexsort((weight, sizes, found, place))[: 4 * per_label]
+    order = np.lexsort((weight, sizes, found, place))
     counts = np.zeros((len(order), TERMS + EXTRA), dtype=np.float32)
     for i, row in enumerate(order):
         counts[i, terms[ends[row] : ends[row + 1]]] = values[ends[row] : ends[row + 1]]

@@ -121,6 +121,20 @@ def test_exact_stage(spark, odd, none):
     assert exact_dedup.keep_one_of_each(none).count() == 0
 
 
+def test_exact_stage_keeps_other_texts_of_an_id(spark):
+    rows = [(1, "same", "en", "a"), (1, "other", "en", "a"), (2, "same", "en", "a"), (None, "same", "en", "a"), (None, "alone", "en", "a")]
+    kept = exact_dedup.keep_one_of_each(docs_of(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, "other"), (2, "same"), (None, "alone")]))
+
+
+def test_one_id_never_floods_the_sample(spark):
+    rows = [(i, "good words here and there " * 3, "en", "a") for i in range(30)] + [(40, f"bad {i} !!!", "en", "a") for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(40, 0, 0)], "doc_id bigint, quality int, toxic int")
+    model = quality.train(docs_of(spark, rows), labels)
+    used = [i for i in [*range(30), 40] if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(model.labels) == len(used)
+
+
 # --- personal data --------------------------------------------------------------------
 
 
