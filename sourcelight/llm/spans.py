@@ -32,6 +32,7 @@ SENTENCES, WORDS, WINDOW, LONG = 3, 15, 8, 40
 _SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uffdc\U00020000-\U0003134f"
 SINGLE = re.compile(f"[{_SINGLE}]")
 WORD = re.compile(rf"(?:[{_SINGLE}]|[^\s{_SINGLE}]+)\s*")
+PLAIN = re.compile(r"\S+\s*")  #: the same in a text without such characters
 #: What ends a sentence, with the white space after it; a line's end also does.
 END = re.compile(r"[.!?]+\s+|[\u3002\uff01\uff1f\uff61]+\s*|\n\s*")
 _BASE = 0x9E3779B97F4A7C15
@@ -68,34 +69,37 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
-def _read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _read(text: str, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each word: where it ends with the white space after it, its hash, whether a unit ends there, and its weight.
 
+    Without ``hashed`` words are hashed only if a sentence is to be cut.
+
     Weights are quarters of a word: half for a character of a script without
     spaces, and half of that again in a sentence that is cut.
     """
-    words = WORD.findall(text)
+    single = not text.isascii() and SINGLE.search(text) is not None
+    words = (WORD if single else PLAIN).findall(text)
     n = len(words)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
     lengths = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lengths) + (len(text) - int(lengths.sum()))
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
     stops = np.array([m.end() for m in END.finditer(text)], np.int64)
     sentence = np.searchsorted(stops, ends)
     same = sentence[1:] == sentence[:-1]
     weight = np.full(n, 4, np.int64)
-    if SINGLE.search(text):
+    if single:
         weight[[SINGLE.match(w) is not None for w in words]] = 2
     starts = np.flatnonzero(np.concatenate([[True], ~same]))
     size = np.add.reduceat(weight, starts)
     long = np.repeat(size > 4 * LONG, np.diff(np.append(starts, n)))
     weight[long] //= 2
-    value = hashes.copy()
-    value[1:] += _mixed(hashes[:-1]) * same
-    value = _mixed(value)
+    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n) if hashed or long.any() else np.zeros(0, np.uint64)
     cut = np.zeros(n, bool)
-    if n >= WINDOW:
+    if long.any():
+        value = hashes.copy()
+        value[1:] += _mixed(hashes[:-1]) * same
+        value = _mixed(value)
         # the least of each window within a sentence; a word is cut after if it is the least of any window around it
         least = value
         for s in (1, 2, 4):
@@ -112,7 +116,7 @@ def _read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """Start and end of each unit; together they cover the text."""
-    ends, _, cut, _ = _read(text)
+    ends, _, cut, _ = _read(text, hashed=False)
     stops = ends[cut].tolist() if len(ends) else [len(text)] if text else []
     return list(zip([0, *stops[:-1]], stops, strict=True)) if stops else []
 
