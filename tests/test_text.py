@@ -124,3 +124,20 @@ def test_page_metadata_first_value_wins(spark):
     row = one(spark, page, html.meta_value(html.meta_tags(F.col("t")), "og:description", "description").alias("d"),
               html.images(F.col("t")).alias("i"))
     assert row["d"] == "one" and row["i"] == ["b.png"]
+
+
+def test_labels_and_days(spark):
+    rows = spark.createDataFrame(
+        [("", "", True, True, ""), ("x", "y", True, False, "no model"), (None, "y", False, False, None), (None, None, True, False, None)],
+        "model string, vector string, enabled boolean, effective boolean, error string")
+    told = rows.select(
+        X.degradation_warning(F.col("model"), F.col("vector")).alias("w"),
+        X.reranker_label(F.col("enabled"), F.col("effective"), F.col("error")).alias("r"),
+        X.role_label(F.lit("法务"), F.lit("legal")).alias("role"),
+    ).collect()
+    assert [t["w"][:4] for t in told] == ["", "大模型服", "向量检索", ""]
+    assert [t["r"] for t in told] == ["已启用", "加载失败，已回退", "未启用", "已配置，首次问答时加载"]
+    assert {t["role"] for t in told} == {"法务（legal）"}
+    days = one(spark, "2026-09-01", dates.days_since(F.col("t"), F.to_date(F.lit("2026-09-11"))).alias("a"),
+               dates.days_since(F.col("t"), F.to_date(F.lit("2026-08-01"))).alias("b"))
+    assert (days["a"], days["b"]) == (10, 0)
