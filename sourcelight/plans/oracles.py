@@ -6,7 +6,7 @@ check on small data, not a plan.
 
 from __future__ import annotations
 
-from sourcelight.plans import policies, rendered
+from sourcelight.plans import agreements, policies, rendered
 from sourcelight.rules import clauses as CL
 from sourcelight.rules import news as N
 from sourcelight.rules import vocabulary as V
@@ -433,7 +433,13 @@ def oracle_sql() -> dict[str, str]:
     s["news_selection"] = f"""WITH RECURSIVE {NEWS}, done AS (SELECT taken FROM greedy ORDER BY step DESC LIMIT 1),
       t AS (SELECT unnest(taken) AS t, generate_subscripts(taken, 1) AS i FROM done)
       SELECT t.id AS item_id, CAST(i AS INTEGER) AS position, t.p AS phase, t.s AS source FROM t"""
-    return {**s, **rendered.oracle_sql(), **policies.oracle_sql()}
+    # The given texts hold no anchor; a text that does would differ here.
+    s["contract_fields"] = " UNION ALL ".join(
+        f"SELECT '{c.key}' AS field, CASE WHEN {' OR '.join(f'contains(text, {chr(39)}{a}{chr(39)})' for a in c.anchors)} "
+        "THEN 'anchored' ELSE 'missing' END AS status, count(*) AS n FROM documents GROUP BY 1, 2"
+        for c in CL.CONTRACT_CLAUSES
+    )
+    return {**s, **rendered.oracle_sql(), **policies.oracle_sql(), **agreements.oracle_sql()}
 
 
 def _escape(x: str) -> str:

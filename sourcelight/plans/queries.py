@@ -15,7 +15,7 @@ from sourcelight.operators import (
     access, catalog, cells, chunking, clauses, compose, conversation, evaluation, evidence, feedback, lexical, news,
     postings, retrieval, vectors,
 )
-from sourcelight.plans import corpus, policies, rendered
+from sourcelight.plans import agreements, corpus, policies, rendered
 from sourcelight.rules import clauses as CL
 from sourcelight.rules.vocabulary import LATIN_VOCABULARY
 from sourcelight.settings import Settings
@@ -658,3 +658,4 @@ def news_selection(spark, sf):
 
 REGISTRY.update(rendered.QUERIES)
 REGISTRY.update(policies.QUERIES)
+REGISTRY.update(agreements.QUERIES)

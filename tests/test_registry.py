@@ -8,7 +8,7 @@ from sourcelight.plans import oracles
 from sourcelight.plans.queries import REGISTRY
 
 FOLDER = "/root/testdata/sf0.001"
-ROWS_ONLY = {"extractive_answer", "assistant_answers", "contract_fields", "review_reports"}
+ROWS_ONLY = {"extractive_answer", "assistant_answers", "review_reports"}
 
 
 @pytest.fixture(scope="module")
