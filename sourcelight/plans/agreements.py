@@ -2,7 +2,7 @@
 
 Each contract holds, per clause, a complete wording, a lacking one or none, by
 its key. The SQL twins state evidence, status and place of every wording by
-hand and write the record again.
+hand and write the record again; labels, focus and issue texts come from the rules.
 """
 
 from __future__ import annotations
