@@ -1,12 +1,14 @@
 """Removal of repeated passages by sliding spans of sentences.
 
 Sentences end at their marks and at line ends, and are the units that go or
-stay. Only a sentence of more than 40 words is cut further, after the words
+stay. Only a sentence of more than 24 words is cut further, after the words
 whose hash (with the word before) is the least of some eight neighbours: where
 such a cut falls depends on the words around it alone, so cuts agree in any
 passage that two texts share. A span is a run of at least three consecutive
-units with at least 15 words, where a word of a cut sentence counts half: within
-one of those a span has 30 words. Spans are the shortest one that starts at a
+units with at least 15 words, where a word of a cut sentence counts half (within
+one of those a span has 30 words), or of fewer units with at least 30 words. So
+a passage of 51 words has a span wherever it starts and ends, but for few that
+lie badly. Spans are the shortest one that starts at a
 unit and the shortest one that ends at it, so a repeated passage is covered up
 to the outermost whole sentences (or common cuts). Spans are hashed and joined
 globally, and units covered by any span that is not the first of its hash are
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 
 from sourcelight.llm.common import saved, whole_text
 
-SENTENCES, WORDS, WINDOW, LONG = 3, 15, 8, 40
+SENTENCES, WORDS, WINDOW, LONG = 3, 15, 8, 24
+ENOUGH = 30  #: words that make a span of fewer units
 #: Thai to Burmese, Khmer, CJK with its signs, kana and wide forms: written without spaces, each character is cut off.
 _SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uffdc\U00020000-\U0003134f"
 SINGLE = re.compile(f"[{_SINGLE}]")
@@ -69,19 +73,19 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
-def _read(text: str, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: where it ends with the white space after it, its hash, whether a unit ends there, and its weight.
+def _read(text: str, hashed: bool = True) -> tuple[np.ndarray, ...]:
+    """Of each word: where it ends with the white space after it, its hash, whether a unit ends there, and its two weights.
 
-    Without ``hashed`` words are hashed only if a sentence is to be cut.
+    Without ``hashed`` only the words of sentences that are to be cut are hashed.
 
     Weights are quarters of a word: half for a character of a script without
-    spaces, and half of that again in a sentence that is cut.
+    spaces, and in the second half of that again in a sentence that is cut.
     """
     single = not text.isascii() and SINGLE.search(text) is not None
     words = (WORD if single else PLAIN).findall(text)
     n = len(words)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
     lengths = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lengths) + (len(text) - int(lengths.sum()))
     stops = np.array([m.end() for m in END.finditer(text)], np.int64)
@@ -93,8 +97,12 @@ def _read(text: str, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.nd
     starts = np.flatnonzero(np.concatenate([[True], ~same]))
     size = np.add.reduceat(weight, starts)
     long = np.repeat(size > 4 * LONG, np.diff(np.append(starts, n)))
-    weight[long] //= 2
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n) if hashed or long.any() else np.zeros(0, np.uint64)
+    less = np.where(long, weight // 2, weight)
+    if hashed:
+        hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    else:
+        hashes = np.zeros(n, np.uint64)
+        hashes[long] = np.fromiter(map(_HASHES.__getitem__, compress(words, long)), np.uint64)
     cut = np.zeros(n, bool)
     if long.any():
         value = hashes.copy()
@@ -111,28 +119,28 @@ def _read(text: str, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.nd
         cut = (most == value) & long
     cut[:-1] |= ~same
     cut[-1] = True
-    return ends, hashes, cut, weight
+    return ends, hashes, cut, weight, less
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """Start and end of each unit; together they cover the text."""
-    ends, _, cut, _ = _read(text, hashed=False)
+    ends, _, cut, *_ = _read(text, hashed=False)
     stops = ends[cut].tolist() if len(ends) else [len(text)] if text else []
     return list(zip([0, *stops[:-1]], stops, strict=True)) if stops else []
 
 
 def _spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     """All spans in text order: first piece << 32 | last piece, and the hash of the words."""
-    _, hashes, cut, weight = _read(text)
+    _, hashes, cut, weight, less = _read(text)
     at = np.concatenate([[0], np.flatnonzero(cut) + 1])  # words before each piece
     n = len(at) - 1
-    if n < SENTENCES:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    upto = np.concatenate([[0], np.cumsum(weight)])[at]
+    full, upto = (np.concatenate([[0], np.cumsum(w)])[at] for w in (weight, less))
     piece = np.arange(n)
     # last piece of the shortest span from each start, first piece of the shortest span to each end
     last = np.maximum(np.searchsorted(upto, upto[:n] + 4 * WORDS) - 1, piece + SENTENCES - 1)
+    last = np.minimum(last, np.searchsorted(full, full[:n] + 4 * ENOUGH) - 1)
     first = np.minimum(np.searchsorted(upto, upto[1:] - 4 * WORDS, side="right") - 1, piece - SENTENCES + 1)
+    first = np.maximum(first, np.searchsorted(full, full[1:] - 4 * ENOUGH, side="right") - 1)
     ahead = last < n
     back = (first >= 0) & (last[first] != piece)
     pairs = np.sort(np.concatenate([(piece << 32 | last)[ahead], (first << 32 | piece)[back]]))
@@ -206,7 +214,7 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     Null text counts as empty; rows equal in doc_id and text are cut alike, as one document.
     Rows of a null doc_id lose only what their own text repeats, and no other document loses what they hold. Rows that share
     a doc_id but not the text are cut by each other's repeats. Texts of fewer
-    than three sentences or 15 words have no span. Only doc_id and text are read.
+    than 15 words, or of one or two units without 30, have no span. Only doc_id and text are read.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     later = repeated_spans(rows)

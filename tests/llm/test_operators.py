@@ -729,6 +729,23 @@ def test_spans_within_long_sentences(spark):
             assert sum(c in signs for c in got[i]["text"]) <= 30, i
 
 
+def test_spans_of_few_sentences():
+    """A run of 51 words of prose is found wherever it starts: one or two whole sentences, or none, lie in it."""
+    rng = random.Random(12)
+    prose = lambda: " ".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(12, 36))) + "." for _ in range(12))
+    found = 0
+    for _ in range(200):
+        words = prose().split()
+        at = rng.randrange(20, len(words) - 71)
+        passage = " ".join(words[at : at + 51])
+        one, two = ([h for *_, h in spans.spans(f"{prose()[: rng.randint(300, 900)]} {passage} {prose()}")] for _ in range(2))
+        assert len(set(one)) == len(one)
+        found += bool(set(one) & set(two))
+    assert found >= 190
+    for text in ("", "one", "a. b.", " ".join(f"w{i}" for i in range(14)) + ". Then. End."):
+        assert len(spans.spans(text)) <= 1 and all(j > i for i, j, _ in spans.spans(text))
+
+
 def test_registered_queries():
     """SQL twins where SQL can say it; the others are tested against brute force here."""
     names = set(queries.REGISTRY)
