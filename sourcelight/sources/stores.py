@@ -179,10 +179,13 @@ class IndexStore:
         dimension = 0
         if provider != "bm25_only":
             own = [*cells.KEYS, "knowledge_base_id"]
-            held = chunks.select(*own, "vector") if provider == "plugged" else count_vectors(
-                chunks.select(*own, "tokens", "squeezed"), self.settings.hash_dim
-            )
-            made = cells.build_cells(held, f"{base}/vectors", ("knowledge_base_id",))
+
+            def vectors_of(rows: DataFrame) -> DataFrame:
+                if provider == "plugged":
+                    return rows.select(*own, "vector")
+                return count_vectors(rows.select(*own, "tokens", "squeezed"), self.settings.hash_dim)
+
+            made = cells.build_cells(chunks, f"{base}/vectors", ("knowledge_base_id",), vectors_of)
             told = [(i, [float(x) for x in p]) for i, p in enumerate(made.pivots)]
             self.spark.createDataFrame(told, "cell int, pivot array<double>").coalesce(1).write.parquet(f"{base}/pivots")
             dimension = made.pivots.shape[1]
