@@ -18,12 +18,11 @@ scripts without spaces between words, two characters count as one word.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,22 +33,35 @@ SENTENCES, WORDS, WINDOW, LONG = 3, 15, 8, 24
 ENOUGH = 30  #: words that make a span of fewer units
 #: Thai to Burmese, Khmer, CJK with its signs, kana and wide forms: written without spaces, each character is cut off.
 _SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uffdc\U00020000-\U0003134f"
-SINGLE = re.compile(f"[{_SINGLE}]")
-WORD = re.compile(rf"(?:[{_SINGLE}]|[^\s{_SINGLE}]+)\s*")
-PLAIN = re.compile(r"\S+\s*")  #: the same in a text without such characters
-#: What ends a sentence, with the white space after it; a line's end also does.
-END = re.compile(r"[.!?]+\s+|[\u3002\uff01\uff1f\uff61]+\s*|\n\s*")
+SPACE, ALONE, MARK, LINE, WIDE = 1, 2, 4, 8, 16
+
+
+def _kinds() -> np.ndarray:
+    """Of each code point: white space, written without spaces, and what ends a sentence.
+
+    A sentence ends at a mark with white space after it, at a line's end, and at wide marks.
+    """
+    kinds = np.zeros(0x110000, np.uint8)
+    for first, last in zip(_SINGLE[::3], _SINGLE[2::3], strict=True):
+        kinds[ord(first) : ord(last) + 1] = ALONE
+    kinds[[c for c in range(0x3001) if chr(c).isspace()]] = SPACE
+    for chars, kind in ((".!?", MARK), ("\n", LINE), ("\u3002\uff01\uff1f\uff61", WIDE)):
+        kinds[[ord(c) for c in chars]] |= kind
+    return kinds
+
+
+_KINDS = _kinds()
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Hashes(dict):
-    """Hash of each word by its spelling in the text; white space and case do not count."""
+    """Hash of each word by its spelling in the text; case does not count."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word.rstrip().lower().encode("utf-8", "replace"))
+        self[word] = value = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "replace"))
         return value
 
 
@@ -81,30 +93,53 @@ def _read(text: str, hashed: bool = True) -> tuple[np.ndarray, ...]:
     Weights are quarters of a word: half for a character of a script without
     spaces, and in the second half of that again in a sentence that is cut.
     """
-    single = not text.isascii() and SINGLE.search(text) is not None
-    words = (WORD if single else PLAIN).findall(text)
-    n = len(words)
+    if text.isascii():
+        codes = np.frombuffer(text.encode("ascii"), np.uint8)
+    else:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _KINDS[codes]
+    space = (kinds & SPACE).view(bool)
+    alone = (kinds & ALONE) != 0
+    single = bool(alone.any())
+    first = ~space
+    first[1:] &= space[:-1] | alone[1:] | alone[:-1] if single else space[:-1]
+    begin = np.flatnonzero(first)
+    n = len(begin)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lengths = np.fromiter(map(len, words), np.int64, n)
-    ends = np.cumsum(lengths) + (len(text) - int(lengths.sum()))
-    stops = np.array([m.end() for m in END.finditer(text)], np.int64)
-    sentence = np.searchsorted(stops, ends)
-    same = sentence[1:] == sentence[:-1]
+    ends = np.append(begin[1:], len(text))
+    follows = space[1:] | first[1:] if single else space[1:]
+    tail = np.flatnonzero(~space & np.append(follows, True))  # last character of each word
+    stop = (kinds[tail] & MARK != 0) & (ends > tail + 1)
+    lines = np.searchsorted(begin, np.flatnonzero(kinds & LINE), side="right") - 1
+    stop[lines[lines >= 0]] = True
+    if single:
+        wide = np.append(kinds & WIDE != 0, False)
+        stop |= wide[tail] & ~wide[tail + 1]  # the last of a run of wide marks
+    same = ~stop[:-1]
+    sentence = np.concatenate([[0], np.cumsum(stop[:-1])])
     weight = np.full(n, 4, np.int64)
     if single:
-        weight[[SINGLE.match(w) is not None for w in words]] = 2
+        weight[alone[begin]] = 2
     starts = np.flatnonzero(np.concatenate([[True], ~same]))
     size = np.add.reduceat(weight, starts)
-    long = np.repeat(size > 4 * LONG, np.diff(np.append(starts, n)))
+    cuttable = size > 4 * LONG
+    long = np.repeat(cuttable, np.diff(np.append(starts, n)))
     less = np.where(long, weight // 2, weight)
-    if hashed:
-        hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    hashes = np.zeros(n, np.uint64)
+    wanted = np.ones(n, bool) if hashed else long
+    if single:
+        words = [text[a:b] for a, b in zip(begin[wanted].tolist(), (tail[wanted] + 1).tolist(), strict=True)]
+    elif hashed:
+        words = text.split()
     else:
-        hashes = np.zeros(n, np.uint64)
-        hashes[long] = np.fromiter(map(_HASHES.__getitem__, compress(words, long)), np.uint64)
+        last = np.append(starts[1:], n) - 1
+        words = []
+        for a, b in zip(begin[starts[cuttable]].tolist(), ends[last[cuttable]].tolist(), strict=True):
+            words += text[a:b].split()
+    hashes[wanted] = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     cut = np.zeros(n, bool)
-    if long.any():
+    if cuttable.any():
         value = hashes.copy()
         value[1:] += _mixed(hashes[:-1]) * same
         value = _mixed(value)
@@ -122,10 +157,15 @@ def _read(text: str, hashed: bool = True) -> tuple[np.ndarray, ...]:
     return ends, hashes, cut, weight, less
 
 
+def _stops(text: str) -> np.ndarray:
+    """End of each unit; white space alone is one unit."""
+    ends, _, cut, *_ = _read(text, hashed=False)
+    return ends[cut] if len(ends) or not text else np.array([len(text)])
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """Start and end of each unit; together they cover the text."""
-    ends, _, cut, *_ = _read(text, hashed=False)
-    stops = ends[cut].tolist() if len(ends) else [len(text)] if text else []
+    stops = _stops(text).tolist()
     return list(zip([0, *stops[:-1]], stops, strict=True)) if stops else []
 
 
@@ -176,19 +216,28 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "text", "n_sentences", "n_removed", "removed_chars"]
     for batch in batches:
+        covered = batch.column(2)
+        spans_of, upto = covered.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.fill_null(pc.list_value_length(covered), 0))
         out: list[tuple] = []
-        for doc, text, covered in zip(*(batch.column(i) for i in range(3)), strict=True):
-            t, ranges = text.as_py(), covered.as_py() or ()
-            cuts = sentences(t)
-            gone = np.zeros(len(cuts) + 1, dtype=np.int64)
-            for span in ranges:
-                gone[span >> 32] += 1
-                gone[(span & 0xFFFFFFFF) + 1] -= 1
-            dead = np.cumsum(gone)[:-1] > 0
-            kept = "".join(t[a:b] for (a, b), d in zip(cuts, dead, strict=True) if not d)
-            out.append((doc.as_py(), kept, len(cuts), int(dead.sum()), len(t) - len(kept)))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+        for text, low, high in zip(batch.column(1), np.append(0, upto[:-1]).tolist(), upto.tolist(), strict=True):
+            t = text.as_py()
+            stops = _stops(t)
+            n, kept, dropped = len(stops), t, 0
+            if high > low:
+                ranges = spans_of[low:high]
+                # another text of the same doc_id may have more units
+                marks = (np.minimum(ranges >> 32, n), np.minimum((ranges & 0xFFFFFFFF) + 1, n))
+                gone = np.bincount(marks[0], minlength=n + 1) - np.bincount(marks[1], minlength=n + 1)
+                dead = np.cumsum(gone)[:-1] > 0
+                dropped = int(dead.sum())
+                at = np.append(0, stops)
+                # neighbouring units that stay are one slice
+                turns = np.flatnonzero(np.diff(np.concatenate([[True], dead, [True]])))
+                kept = "".join([t[a:b] for a, b in at[turns].reshape(-1, 2).tolist()])
+            out.append((kept, n, dropped, len(t) - len(kept)))
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        columns = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

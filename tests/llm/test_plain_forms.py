@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import struct
 
 import numpy as np
 import xxhash
 
-from sourcelight.llm import quality, simhash
+from sourcelight.llm import quality, simhash, spans
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -91,3 +92,26 @@ def test_votes_of_the_nearest(spark):
     away = [abs(got[r["doc_id"]] - plain_vote(model, r["text"] or "")) for r in docs.collect()]
     # Similarities at the fifth digit may round the other way in single precision and add or lose a tied voter.
     assert len(away) == len(got) and np.mean(np.array(away) < 1e-3) > 0.95 and max(away) < 0.15
+
+
+def test_units_by_patterns():
+    """Ends of units that are not cut further, found by one pattern, with rare white space and wide marks."""
+    rng = random.Random(3)
+    end = re.compile(r"[.!?]+\s+|[\u3002\uff01\uff1f\uff61]+\s*|\n\s*")
+    for _ in range(3000):
+        text = "".join(rng.choices(list("ab. !?\n\t\u3002\uff61\u4e00\u3042\xa0\u3000\x1c\x85\u00e9"), k=rng.randint(0, 24)))
+        stops = {m.end() for m in end.finditer(text) if text[: m.end()].strip()} | {len(text)}
+        want = sorted(stops) if text else []
+        if text[(want or [0])[-2:][0]:].strip() == "" and len(want) > 1:
+            want.pop(-2)
+        assert [b for _, b in spans.sentences(text)] == want, repr(text)
+
+
+def test_one_id_with_texts_of_different_lengths(spark):
+    """A text that shares its doc_id is cut by the other's repeats, as far as it has units."""
+    repeated = " ".join(f"Sentence {i} holds some words of its own." for i in range(9))
+    rows = [(1, repeated), (2, f"Start of it. {repeated}"), (2, "Short one. It ends."), (2, "")]
+    got = spans.drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in got) == [
+        (1, repeated, 0), (2, "", 0), (2, "Short one. ", 1), (2, "Start of it. ", 9)
+    ]
