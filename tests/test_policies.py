@@ -43,3 +43,8 @@ def test_every_bonus_and_feature_occurs(spark):
     for column in ("drafting", "stage", "alias_added"):
         assert {r[column] for r in rows} == {True, False}
     assert {r["subjects"] for r in rows} == {"", "打印机", "扫描仪,投影仪"}
+
+
+def test_cases_are_dealt_out(spark):
+    """One row group of ``part`` does not leave all rules to one task."""
+    assert P._picked(spark, FOLDER, P.CASES).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

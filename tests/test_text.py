@@ -1,5 +1,6 @@
 """String scalars and chunking against plain-Python restatements."""
 
+import random
 import re
 
 import pytest
@@ -44,6 +45,25 @@ def test_unknown_runs_become_pairs(spark):
     assert one(spark, "甲乙丙 丁", X.tokens(F.col("t")).alias("t"))["t"] == ["甲乙", "乙丙", "丁"]
 
 
+def test_tokens_take_the_longest_word_of_shared_beginnings(spark):
+    """Against one plain alternation of all words; a place must not try them one by one."""
+    rng = random.Random(6)
+    lexicon = ("甲", "甲乙", "甲乙丙丁", "乙丙", "丙", "丁戊己", "丁戊", "己", "庚辛", "壬癸", "c+", "a-b")
+    values = ["".join(rng.choices("甲乙丙丁戊己庚辛壬癸子丑a-b1.c+ 。", k=rng.randint(0, 25))) for _ in range(300)]
+    words = "|".join(re.escape(w) for w in sorted(lexicon, key=lambda w: (-len(w), w)))
+    cjk = "\u4e00-\u9fff"
+
+    def plain(text):
+        found = re.findall(rf"[a-z]+|\d+(?:\.\d+)?|{words}|(?:(?!{words})[{cjk}])+" if re.search(f"[{cjk}]", text) else r"[a-z]+|\d+(?:\.\d+)?", text)
+        cut = [[t[i : i + 2] for i in range(len(t) - 1)] if re.fullmatch(f"[{cjk}]{{3,}}", t) and t not in lexicon else [t] for t in found]
+        return [t for part in cut for t in part]
+
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, t string")
+    got = {r["i"]: r["k"] for r in rows.select("i", X.tokens(F.col("t"), lexicon).alias("k")).collect()}
+    assert got == {i: plain(v) for i, v in enumerate(values)}
+    assert X._longest_of(lexicon).count("甲") == 1
+
+
 def test_sentences_rejoin_wrapped_lines(spark):
     row = one(spark, "第一行\n继续。下一句！ok? y\n- 项\n2. 二\n尾巴", X.sentences(F.col("t")).alias("s"))
     assert row["s"] == ["第一行继续。", "下一句！", "ok?", "y", "项", "2. 二尾巴"]
