@@ -36,6 +36,20 @@ def test_normalize_matches_restatement(spark, values):
     assert got == {i: normalized(v) for i, v in enumerate(values)}
 
 
+def test_rare_characters_are_found_beside_all_others(spark):
+    """White space of every kind is seen, and the search first passes over letters by a short class."""
+    spaces, others = X.WS_CHARS, "!~a0Z.\xa1\u00e9\u167f\u1681\u1fff\u200b\u3001\u4e00\ud7ff\uffff\U0001f600\x7f#"
+    values = [a + b + c for a in ("", "x", "\u3001") for b in spaces + others for c in ("", "y", " ", "\n", "\u3000")]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, t string")
+    columns = [X.compact(F.col("t")).alias("c"), X.normalize_text(F.col("t")).alias("n"), X.squeezed(X.normalize_text(F.col("t"))).alias("q")]
+    for r in rows.select("t", *columns).collect():
+        assert r["c"] == "".join(c for c in r["t"] if c not in spaces), repr(r["t"])
+        assert r["q"] == "".join(c for c in r["n"].lower() if c not in spaces), repr(r["t"])
+        assert r["n"] == r["n"].strip(spaces) and "\t" not in r["n"] and "\x7f" not in r["n"]
+    plan = rows.select(*columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?![!-~") >= 3
+
+
 def test_tokens_keep_codes_numbers_and_words(spark):
     row = one(spark, "年假怎么申请 AB-12.5 vpn_x 打印机维修", X.tokens(F.col("t")).alias("t"))
     assert row["t"] == ["年假", "怎么", "申请", "ab", "12.5", "vpn", "x", "打印机", "维修"]
