@@ -24,7 +24,7 @@ from sourcelight.session import stored
 from sourcelight.settings import DEFAULT_SETTINGS, Settings
 from sourcelight.sources.files import file_digests, fingerprint, named_files, path_exists
 
-INDEX_VERSION = 2
+INDEX_VERSION = 3
 DOCUMENT_SCHEMA = (
     "document_id string, title string, category string, source_path string, content string, sections array<string>, "
     "status string, error string, version string, effective_date string, department string, owner string, "
@@ -175,7 +175,7 @@ class IndexStore:
         chunks = self.spark.read.schema(placed.schema if provider != "plugged" else embedded.schema).parquet(f"{base}/{name}")
         texts, words = postings.lexical_figures(chunks)
         mean = words / texts if texts else 0.0
-        postings.postings_of(chunks, mean, self.settings).write.parquet(f"{base}/postings")
+        postings.store_packed(postings.packed_of(chunks, mean, self.settings), f"{base}/postings")
         dimension = 0
         if provider != "bm25_only":
             own = [*cells.KEYS, "knowledge_base_id"]
